@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing
+from millrace.llm import decontam, minhash, packing, substring, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_best_fit_packing": packing.op7_best_fit_packing}
+    return {
+        "op1_substring_dedup": substring.op1_substring_dedup,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
+        "op10_url_filters": urls.op10_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": substring.OP1_SQL}
