@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -45,52 +44,38 @@ FLOOR = 0.71
 #: Ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _DRAW = np.random.default_rng(20)
-_MULTIPLY = _DRAW.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _DRAW.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
+_MULTIPLY = (_DRAW.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_XOR = _DRAW.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)[:, None]
 _PLACES = _DRAW.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: The signature values that each order reads, first to last.
 _ORDERS = np.stack([np.roll(np.arange(PERMUTATIONS), -DEPTH * t) for t in range(TREES)])
 
 
-class _Words(dict):
-    """Hash of each word; forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_WORDS = _Words()
-
-
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(SHINGLE, len(words))
     n = len(words) - size + 1
-    with np.errstate(over="ignore"):
-        s = np.full(n, np.uint64(size))
-        for j in range(size):
-            s = (s ^ (s >> np.uint64(31))) * _PLACES[j] + h[j : j + n]
-        s ^= s >> np.uint64(33)
-        s *= np.uint64(0xFF51AFD7ED558CCD)
-        s ^= s >> np.uint64(33)
-    return np.unique(s)
+    s = np.full(n, np.uint64(size))
+    for j in range(size):
+        s = (s ^ (s >> np.uint64(31))) * _PLACES[j] + h[j : j + n]
+    s ^= s >> np.uint64(33)
+    s *= np.uint64(0xFF51AFD7ED558CCD)
+    s ^= s >> np.uint64(33)
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    out = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for lo in range(0, len(hashes), 4096):
-            part = hashes[lo : lo + 4096]
-            for k in range(PERMUTATIONS):
-                out[k] = min(out[k], ((part ^ _XOR[k]) * _MULTIPLY[k]).min())
-    return out >> np.uint64(16)
+    """The least of the set's hashes under each of the permutations of 32-bit numbers."""
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = np.full(PERMUTATIONS, 2**32 - 1, np.uint32)
+    for lo in range(0, len(high), 512):
+        out = np.minimum(out, ((high[lo : lo + 512] ^ _XOR) * _MULTIPLY).min(1))
+    return out
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -106,7 +91,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     n.append(len(found))
                     cls.append(xxhash.xxh3_128_digest(found.tobytes()))
                     values = signature(found)
-                    sig.append((values & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
+                    sig.append(((values * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16).tobytes())
                     regions.append([xxhash.xxh3_64_intdigest(values[order[:DEPTH]].tobytes(), seed=t) - 2**63 for t, order in enumerate(_ORDERS)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(regions, pa.list_(pa.int64()))],
@@ -144,47 +129,76 @@ def region_rows(classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(deepen, f"{kinds}, part bigint")
 
 
-def _agree(sigs: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (sigs == one).mean(1)
-
-
 def candidates(rows: DataFrame, across: bool) -> DataFrame:
     """(a, b, est), a < b: each pair once. across: instead, what is outside the largest component against all of its part."""
 
-    def of_part(part: pd.DataFrame) -> pd.DataFrame:
-        tree = int(part["tree"].iloc[0])
-        sigs = np.stack([np.frombuffer(s, np.uint16) for s in part["sig"]])
-        if not across:
-            order = np.lexsort(np.vstack([part["rep"].to_numpy()[None], sigs[:, _ORDERS[tree][DEPTH : DEPTH + 16]].T[::-1]]))
-            part, sigs = part.iloc[order], sigs[order]
-        rep, n = part["rep"].to_numpy(), part["n_shingles"].to_numpy()
-        comp = part["comp"].to_numpy()
+    def of_groups(part: pa.Table) -> pa.RecordBatch:
+        """Pairs of whole groups, one after another in the rows."""
+        rep, n, comp = (part.column(c).to_numpy() for c in ("rep", "n_shingles", "comp"))
+        sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
+        region, piece = part.column("region").to_numpy(), part.column("part").to_numpy()
+        group = np.concatenate([[0], np.cumsum((region[1:] != region[:-1]) | (piece[1:] != piece[:-1]))])
+        sizes = np.bincount(group)[group]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def take(i: np.ndarray, j: np.ndarray) -> None:
             fits = (100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j])) & (comp[i] != comp[j])
             i, j = i[fits], j[fits]
-            est = (sigs[i] == sigs[j]).mean(1) if len(i) else np.zeros(0)
-            fits = est >= FLOOR
-            out.append((rep[i][fits], rep[j][fits], est[fits]))
+            for lo in range(0, len(i), 8192):
+                x, y = i[lo : lo + 8192], j[lo : lo + 8192]
+                est = (sigs[x] == sigs[y]).mean(1)
+                near = est >= FLOOR
+                out.append((rep[x][near], rep[y][near], est[near]))
 
-        m = len(part)
-        at = np.arange(m)
         if across:
-            values, counts = np.unique(comp, return_counts=True)
-            if len(values) > 1:
-                for i in at[comp != values[counts.argmax()]]:
-                    take(np.full(m, i), at)
+            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                values, counts = np.unique(comp[lo:hi], return_counts=True)
+                at = np.arange(lo, hi)
+                if len(values) > 1:
+                    for i in at[comp[lo:hi] != values[counts.argmax()]]:
+                        take(np.full(hi - lo, i), at)
         else:
-            for step in range(1, m if m <= SMALL else NEAR + 1):
-                take(at[:-step], at[step:])
-            if m > SMALL:
-                take(np.zeros(m - 1, int), at[1:])
+            order = _ORDERS[part.column("tree").to_numpy()][:, DEPTH : DEPTH + 8]
+            following = np.take_along_axis(sigs, order, 1)
+            by = np.lexsort([rep, *following.T[::-1], group])
+            rep, n, comp, sigs = rep[by], n[by], comp[by], sigs[by]  # groups stay where they are
+            for step in range(1, max(SMALL, NEAR + 1)):
+                at = np.arange(len(group) - step) if len(group) > step else np.zeros(0, np.int64)
+                at = at[(group[at] == group[at + step]) & ((sizes[at] <= SMALL) | (step <= NEAR))]
+                if not len(at):
+                    break
+                take(at, at + step)
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(len(group)), 0))
+            at = np.flatnonzero((sizes > SMALL) & (first < np.arange(len(group))))
+            take(first[at], at)
         a, b, est = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "est": est})
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(est)], names=["a", "b", "est"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; a group that a batch cuts waits for its rest."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            region, piece = batch.column("region").to_numpy(), batch.column("part").to_numpy()
+            starts = np.flatnonzero((region[1:] != region[:-1]) | (piece[1:] != piece[:-1])) + 1
+            if held and (held[-1].column("region")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (region[0], piece[0]):
+                yield of_groups(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            if len(starts):
+                held.append(batch.slice(0, starts[-1]))
+                yield of_groups(pa.Table.from_batches(held).combine_chunks())
+                held = [batch.slice(starts[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield of_groups(pa.Table.from_batches(held).combine_chunks())
 
     rows = rows.filter(F.col("size") > SMALL) if across else rows
-    pairs = rows.groupBy("region", "part").applyInPandas(of_part, "a bigint, b bigint, est double")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "region", "part").sortWithinPartitions("region", "part")
+    pairs = dealt.mapInArrow(stream, "a bigint, b bigint, est double")
     if not across:
         heads = rows.filter(F.col("size") > LARGE)
         firsts = heads.groupBy("region", "part").agg(F.min("rep").alias("b"))
