@@ -72,11 +72,8 @@ def plain(sentence: str) -> str:
 
 
 def known(sentences: dict[int, str]) -> dict[str, int]:
-    """Normalised sentences, each cut as texts are; the last cut carries the identifier."""
-    out: dict[str, int] = {}
-    for key, sentence in sentences.items():
-        out[plain(re.split(r"(?<=[.!?:;])\s+", sentence)[-1])] = key
-    return out
+    """Normalised sentences, each cut as texts are; the longest cut carries the identifier."""
+    return {max(map(plain, re.split(r"(?<=[.!?:;])\s+", s)), key=len): key for key, s in sentences.items()}
 
 
 def _within(small: tuple[int, ...], large: tuple[int, ...]) -> bool:

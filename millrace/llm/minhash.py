@@ -14,7 +14,7 @@ that is over four standard deviations off.
 Candidates are confirmed on full sets: `100 * |A & B| >= THRESHOLD * |A | B|`. First each class with one
 neighbour, so that large groups collapse into few components; then every other candidate pair whose ends are
 not yet in one component. In regions above `SMALL`, every class outside the region's largest component is then
-compared with all classes of its part. Components come from alternating large-star and small-star rounds over
+compared with all classes of the region, part by part. Components come from alternating large-star and small-star rounds over
 links, all in tables.
 
 Documents without words are linked with nothing. Null ids stay out of all links: component_id null, kept true.
@@ -29,18 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise, table
 
 SHINGLE = 5
 THRESHOLD = 85
-PERMUTATIONS = 128
+PERMUTATIONS = 512
 TREES = 16
 DEPTH = 4
-SMALL, NEAR, LARGE = 32, 6, 2000
-FLOOR = 0.71
+SMALL, NEAR, LARGE = 32, 1, 2000
+FLOOR = 0.785
 #: Ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _DRAW = np.random.default_rng(20)
@@ -106,7 +106,7 @@ def region_rows(classes: DataFrame) -> DataFrame:
     slim = classes.select("rep", F.posexplode("regions").alias("tree", "region")).select("rep", "tree", F.xxhash64("region", "tree").alias("region"))
     counts = slim.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
     near = materialise(slim.join(counts, "region"), "regions")
-    rows = near.join(classes.select("rep", "sig", "n_shingles", "comp"), "rep")
+    rows = near.join(classes.select("rep", "sig", "n_shingles", "comp", "regions"), "rep")
 
     def deepen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,11 +139,18 @@ def candidates(rows: DataFrame, across: bool) -> DataFrame:
         region, piece = part.column("region").to_numpy(), part.column("part").to_numpy()
         group = np.concatenate([[0], np.cumsum((region[1:] != region[:-1]) | (piece[1:] != piece[:-1]))])
         sizes = np.bincount(group)[group]
+        tree = part.column("tree").to_numpy()
+        # a pair that meets in several whole regions is looked at in the first of them
+        whole = part.column("size").to_numpy() <= LARGE
+        trees = np.stack(part.column("regions").to_numpy(zero_copy_only=False)) if across else None
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def take(i: np.ndarray, j: np.ndarray) -> None:
             fits = (100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j])) & (comp[i] != comp[j])
             i, j = i[fits], j[fits]
+            if across and len(i):
+                first = (trees[i] == trees[j]).argmax(1) == tree[i]
+                i, j = i[first | ~whole[i]], j[first | ~whole[i]]
             for lo in range(0, len(i), 8192):
                 x, y = i[lo : lo + 8192], j[lo : lo + 8192]
                 est = (sigs[x] == sigs[y]).mean(1)
@@ -152,14 +159,16 @@ def candidates(rows: DataFrame, across: bool) -> DataFrame:
 
         if across:
             edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            guest = part.column("guest").to_numpy(zero_copy_only=False)
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                values, counts = np.unique(comp[lo:hi], return_counts=True)
                 at = np.arange(lo, hi)
-                if len(values) > 1:
-                    for i in at[comp[lo:hi] != values[counts.argmax()]]:
-                        take(np.full(hi - lo, i), at)
+                own = at[~guest[lo:hi]]
+                values, counts = np.unique(comp[own], return_counts=True)
+                asks = at[guest[lo:hi] | (comp[lo:hi] != (values[counts.argmax()] if len(values) else -1))]
+                for i in asks if len(own) else ():
+                    take(np.full(len(own), i), own)
         else:
-            order = _ORDERS[part.column("tree").to_numpy()][:, DEPTH : DEPTH + 8]
+            order = _ORDERS[tree][:, DEPTH : DEPTH + 8]
             following = np.take_along_axis(sigs, order, 1)
             by = np.lexsort([rep, *following.T[::-1], group])
             rep, n, comp, sigs = rep[by], n[by], comp[by], sigs[by]  # groups stay where they are
@@ -195,7 +204,15 @@ def candidates(rows: DataFrame, across: bool) -> DataFrame:
         if held:
             yield of_groups(pa.Table.from_batches(held).combine_chunks())
 
-    rows = rows.filter(F.col("size") > SMALL) if across else rows
+    if across:
+        rows = rows.filter(F.col("size") > SMALL).withColumn("guest", F.lit(False))
+        # what is outside the largest component of a region that was cut visits the region's other parts
+        large = rows.filter(F.col("size") > LARGE)
+        most = large.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+        parts = large.select("region", F.col("part").alias("other")).distinct()
+        minor = large.join(most, "region").filter("comp != main").join(parts, "region").filter("other != part")
+        guests = minor.withColumns({"part": F.col("other"), "guest": F.lit(True)}).select(*rows.columns)
+        rows = rows.unionByName(guests)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "region", "part").sortWithinPartitions("region", "part")
     pairs = dealt.mapInArrow(stream, "a bigint, b bigint, est double")
@@ -304,5 +321,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns; of rows of one doc_id the least by text."""
+    found = near_duplicates(docs, doc_id, text)
+    gone = materialise(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    small = gone.count() <= BROADCAST_ROWS
+    out = docs.join(F.broadcast(gone) if small else gone, docs[doc_id].cast("bigint") == F.col("_gone"), "left_anti")
+    again = docs.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_again")
+    again = materialise(again, "again")
+    if not again.limit(1).count():
+        return out
+    repeated = out.join(again, out[doc_id] == F.col("_again"), "left_semi")
+    first = Window.partitionBy(doc_id).orderBy(text, *(c for c in docs.columns if c not in (doc_id, text)))
+    one = repeated.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*docs.columns)
+    return out.join(again, out[doc_id] == F.col("_again"), "left_anti").unionByName(one)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

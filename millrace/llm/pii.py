@@ -72,7 +72,7 @@ def luhn(value: Column) -> Column:
 def _holds(kind: str) -> Column:
     """Function of a span: whether its value passes the kind's check."""
     if kind == "ip":
-        small = lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") <= 255)
+        small = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") <= 255)
         return lambda s: F.forall(F.split(s["value"], r"\."), small)
     if kind == "card":
         return lambda s: F.when(F.length(digits(s["value"])).between(14, 19), luhn(digits(s["value"]))).otherwise(False)
@@ -83,10 +83,13 @@ def _holds(kind: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<start, kind (its place among KINDS), end, value>>, sorted."""
+    def tagged(spans: Column, k: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+
     parts = []
     for k, kind in enumerate(KINDS[:4]):
         spans = F.when(text.rlike(WORTH[kind]), F.filter(found(text, PATTERNS[kind]), _holds(kind))).otherwise(F.array().cast(_SPAN))
-        parts.append(F.transform(spans, lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
+        parts.append(tagged(spans, k))
     return F.array_sort(F.concat(*parts))
 
 

@@ -223,12 +223,25 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def score_toxicity(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", keep: list[str] | None = None
-) -> DataFrame:
-    """The columns of `keep` (by default the id), held_out, score and predicted, a row for each row of docs."""
-    spark = docs.sparkSession
-    keep = keep or [doc_id]
+def with_evidence(rows: DataFrame, tables, text: str, drop: bool) -> DataFrame:
+    """The rows with _tox_mean and _tox_window of a column of texts, which goes if `drop`."""
+    names = [c for c in rows.columns if not (drop and c == text)]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*tables.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                found = scorer.evidence(part.column(text).to_pylist())
+                new = [pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *new], names=[*names, "_tox_mean", "_tox_window"])
+
+    return rows.mapInArrow(add, ", ".join([*kinds, "_tox_mean double", "_tox_window double"]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple:
+    """The broadcast tables of ratios, and the weights of the curve."""
     known = (
         labels.select(F.col(doc_id).alias("label_id"), F.col(label).cast("int").alias("toxic"))
         .filter("label_id IS NOT NULL AND toxic IN (0, 1)")
@@ -241,34 +254,34 @@ def score_toxicity(
     train = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).join(known, "label_id")
     top = materialise(gram_counts(train.filter(F.col("fold").isin(*COUNTED))), "grams")
     seen, unseen = ratios(top)
-    tables = spark.sparkContext.broadcast((Table.collect(seen, ORDER), Table.collect(unseen, ORDER - 1)))
+    tables = docs.sparkSession.sparkContext.broadcast((Table.collect(seen, ORDER), Table.collect(unseen, ORDER - 1)))
+    fitted = train.filter(F.col("fold").isin(*FITTED)).select("toxic", F.xxhash64("label_id", "text").alias("at"), "text")
+    drawn = with_evidence(fitted, tables, "text", True).orderBy("at", "toxic").limit(SAMPLE).toPandas()
+    y = drawn["toxic"].to_numpy(float)
+    if 0 < y.sum() < len(y):
+        return tables, logistic(drawn[["_tox_mean", "_tox_window"]].to_numpy(), y)
+    share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
+    return tables, np.array([0.0, 0.0, np.log(share / (1 - share))])
 
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*tables.value)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                found = scorer.evidence(part.column("_text").to_pylist())
-                rest = [c for c, n in zip(part.columns, part.schema.names, strict=True) if n != "_text"]
-                names = [n for n in part.schema.names if n != "_text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "_mean", "_window"])
 
-    def with_evidence(rows: DataFrame) -> DataFrame:
-        kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
-        return rows.mapInArrow(evidence, ", ".join([*kinds, "_mean double", "_window double"]))
+def _score(w: np.ndarray) -> Column:
+    line = F.col("_tox_mean") * float(w[0]) + F.col("_tox_window") * float(w[1]) + float(w[2])
+    return 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(50.0)), F.lit(-50.0))))
 
-    fitted = train.filter(F.col("fold").isin(*FITTED)).select("toxic", F.xxhash64("label_id", "text").alias("at"), F.col("text").alias("_text"))
-    drawn = with_evidence(fitted).orderBy("at", "toxic").limit(SAMPLE).toPandas()
-    y = drawn["toxic"].to_numpy(float)
-    if 0 < y.sum() < len(y):
-        w = logistic(drawn[["_mean", "_window"]].to_numpy(), y)
-    else:
-        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
-        w = np.array([0.0, 0.0, np.log(share / (1 - share))])
-    rows = with_evidence(docs.select(*keep, fold(F.col(doc_id)).alias("_fold"), F.col(text).alias("_text")))
-    line = sum((F.col(c) * float(k) for c, k in zip(("_mean", "_window"), w, strict=False)), F.lit(float(w[2])))
-    score = 1 / (1 + F.exp(-line))
-    return rows.select(*keep, F.coalesce(F.col("_fold") == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(doc_id, held_out, score, predicted), a row for each row of docs."""
+    tables, w = fit(docs, labels, doc_id, text, label)
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = with_evidence(slim, tables, "text", True).select("doc_id", _score(w).alias("score"))
+    held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows of docs that are not predicted to be toxic, with all their columns."""
+    tables, w = fit(docs, labels, doc_id, text, label)
+    return with_evidence(docs, tables, text, False).filter(_score(w) < 0.5).select(*docs.columns)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
