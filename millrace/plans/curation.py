@@ -192,18 +192,18 @@ def hamming_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.hamming_nearest(part.filter("p_partkey % 2 = 0"), right, "p_partkey", "nearest", ["p_brand", "p_type", "p_size"])
 
 
-_RULES = [(1, "ALL", None, "l_quantity", "range", "10", "30"), (1, "ALL", None, "l_discount", "lt", "0.05", None), (2, "AT_LEAST", 2, "l_quantity", "gt", "25", None), (2, "AT_LEAST", 2, "l_returnflag", "discrete_set", "A,R", None), (2, "AT_LEAST", 2, "l_linestatus", "exclusion", "O", None)]
+_RULES = [(1, "ALL", None, "p_size", "range", "10", "30"), (1, "ALL", None, "p_retailprice", "lt", "1500", None), (2, "AT_LEAST", 2, "p_size", "gt", "25", None), (2, "AT_LEAST", 2, "p_brand", "discrete_set", "Brand#1,Brand#2,Brand#3", None), (2, "AT_LEAST", 2, "p_type", "exclusion", "STEEL", None)]
 
 
-@register("rule_predicate_join", """SELECT l_orderkey, l_linenumber, 1 AS w, (l_quantity BETWEEN 10 AND 30) AND l_discount < 0.05 AS fits FROM lineitem
- UNION ALL SELECT l_orderkey, l_linenumber, 2, CAST(l_quantity > 25 AS INTEGER) + CAST(l_returnflag IN ('A', 'R') AS INTEGER) + CAST(l_linestatus <> 'O' AS INTEGER) >= 2 FROM lineitem""")
+@register("rule_predicate_join", """SELECT p_partkey, 1 AS w, (p_size BETWEEN 10 AND 30) AND p_retailprice < 1500 AS fits FROM part
+ UNION ALL SELECT p_partkey, 2, CAST(p_size > 25 AS INTEGER) + CAST(lower(p_brand) IN ('brand#1', 'brand#2', 'brand#3') AS INTEGER) + CAST(lower(p_type) <> 'steel' AS INTEGER) >= 2 FROM part""")
 def rule_predicate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = spark.createDataFrame(_RULES, "w int, logic string, needed int, field string, predicate string, value_1 string, value_2 string")
-    fields = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *fields)
-    long = lines.select("l_orderkey", "l_linenumber", *(F.col(f).cast("string").alias(f) for f in fields)).unpivot(["l_orderkey", "l_linenumber"], fields, "field", "value")
+    fields = ["p_size", "p_retailprice", "p_brand", "p_type"]
+    parts = table(spark, sf_dir, "part").select("p_partkey", *(F.col(f).cast("string").alias(f) for f in fields))
+    long = parts.unpivot(["p_partkey"], fields, "field", "value")
     checked = long.join(F.broadcast(windows), "field").withColumn("ok", rules.satisfied(F.col("predicate"), F.col("value"), F.col("value_1"), F.col("value_2")))
-    return rules.combine(checked, ["l_orderkey", "l_linenumber", "w"])
+    return rules.combine(checked, ["p_partkey", "w"])
 
 
 @register("required_fields", "SELECT c_custkey FROM customer WHERE CAST(c_acctbal > 0 AS INTEGER) + CAST(c_mktsegment <> 'BUILDING' AS INTEGER) + CAST(c_nationkey < 12 AS INTEGER) >= 2")
@@ -241,7 +241,7 @@ def unpivot_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("explode_tags", "SELECT lower(tag) AS tag, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS tag FROM part) GROUP BY 1")
 def explode_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = text.split_tags(F.replace(F.col("p_type"), F.lit(" "), F.lit("; ")))
-    return table(spark, sf_dir, "part").select(F.lower(F.explode(tags)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "part").select(F.explode(tags).alias("t")).select(F.lower("t").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @register("json_props_extract", "SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
