@@ -1,11 +1,11 @@
 """Line dedup by an exact set-similarity join, in SQL functions only.
 
-A line's tokens are its distinct words (runs without blanks, in lower case); lines under `LEAST` tokens stay. A
+A line's tokens are its distinct words (what spaces part, in lower case); lines under `LEAST` tokens stay. A
 line goes if an earlier one, by doc_id (null first), line number and text, has a Jaccard similarity of at least
 `SHARE` (4/5) with it, whether that one stays or not.
 
-Lines of equal tokens: all but the first go, and only the first is compared with others. Tokens are ordered from
-rare to common by counts over all lines (in `BUCKETS` shared counters, so their table has a fixed size; any order
+Equal lines: all but the first go, and only the first is compared with others. Tokens are ordered from rare to
+common by counts over all documents (in `BUCKETS` shared counters, so their table has a fixed size; any order
 gives exact results). Two lines of n and m tokens that are similar share one of their first n - ceil(0.8 n) + 1
 and m - ceil(0.8 m) + 1 tokens. Pairs that meet there must pass the length filter, the positional filter and a
 parity filter: the 64-bit parities of their token sets differ in no more bits than the sets may differ in
@@ -37,30 +37,21 @@ BROADCAST_ROWS = 1_000_000
 
 
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.translate(line, "\t\r\x0b\x0c", "    ")), " "), lambda w: w != ""))
-
-
-def hashed(line: Column) -> Column:
-    """The line's tokens as distinct 64-bit hashes."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(F.translate(line, "\t\r\x0b\x0c", "    ")), " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
-
-
-def _xor(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+    """Distinct words of a line that is in lower case."""
+    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, at, n, s1, s2, tokens): lines with enough tokens; at is the line number and 31 bits of the text's hash."""
+    """(id, at, line): lines in lower case that may have enough tokens; at is the line number and 31 bits of the text's hash."""
     text_hash = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))
-    rows = docs.select(F.col("doc_id").alias("id"), text_hash.alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    rows = rows.select("id", (F.col("line").cast("bigint") * F.lit(1 << 31) + F.col("h")).alias("at"), hashed(F.col("words")).alias("tokens"))
-    rows = rows.filter(F.size("tokens") >= LEAST)
-    return rows.select("id", "at", F.size("tokens").alias("n"), _xor(F.col("tokens")).alias("s1"), _xor(F.transform("tokens", lambda t: F.xxhash64(t))).alias("s2"), "tokens")
+    rows = docs.select(F.col("doc_id").alias("id"), text_hash.alias("h"), F.posexplode(F.split(F.lower("text"), "\n")).alias("i", "line"))
+    return rows.filter(F.length("line") >= 2 * LEAST - 1).select("id", (F.col("i").cast("bigint") * F.lit(1 << 31) + F.col("h")).alias("at"), "line")
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """How common the tokens of each bucket are, as a byte on a logarithmic scale; BUCKETS counts reach the driver."""
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+def rarity(docs: DataFrame) -> bytes:
+    """How common the words of each bucket are, as a byte on a logarithmic scale; BUCKETS counts reach the driver."""
+    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     out = bytearray(BUCKETS)
     for r in counts.collect():
         out[r["b"]] = min(127, int(4 * math.log2(r["n"] + 1)))
@@ -73,17 +64,18 @@ def needed(n: Column) -> Column:
 
 
 def records(lines: DataFrame, common: bytes) -> DataFrame:
-    """(id, at, n, parity, prefix): prefix is the line's rarest tokens, rarest first, as 32-bit numbers."""
+    """(id, at, n, parity, prefix) of lines with enough tokens: prefix is their rarest, rarest first, as 32-bit numbers."""
     held = F.lit(common)
     byte = lambda t: F.ascii(F.substring(held, F.pmod(t, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
     # one number sorts by rarity, then by hash
     rank = lambda t: F.shiftleft(byte(t).cast("bigint"), 44) + t.bitwiseAND(F.lit((1 << 44) - 1))
+    rows = lines.withColumn("words", words_of(F.col("line"))).filter(F.size("words") >= LEAST)
+    rows = rows.select("id", "at", F.size("words").alias("n"), F.sort_array(F.transform("words", lambda w: rank(F.xxhash64(w)))).alias("ranked"))
     # the bits taken as place are not those of the bucket
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(t, 50).bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(bit(t)))
-    ranked = F.sort_array(F.transform("tokens", rank))
-    prefix = F.slice(ranked, F.lit(1), F.col("n") - needed(F.col("n")) + 1)
-    return lines.select("id", "at", "n", parity.alias("parity"), F.transform(prefix, lambda k: F.hash(k)).alias("prefix"))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, 20).bitwiseAND(F.lit(63)).cast("int"))
+    parity = F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(bit(t)))
+    prefix = F.slice("ranked", F.lit(1), F.col("n") - needed(F.col("n")) + 1)
+    return rows.select("id", "at", "n", parity.alias("parity"), F.transform(prefix, lambda k: F.hash(k)).alias("prefix"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -102,7 +94,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     per_doc = wanted.groupBy("id", F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).alias("h")).agg(F.collect_list("at").alias("ats"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).alias("own"))
     rows = rows.join(_small(per_doc), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("h")))
-    cut = rows.select("id", F.split("text", "\n").alias("lines"), F.explode("ats").alias("at"))
+    cut = rows.select("id", F.split(F.lower("text"), "\n").alias("lines"), F.explode("ats").alias("at"))
     # repeated rows give one line each
     words = cut.select("id", "at", words_of(F.get("lines", F.shiftright("at", 31).cast("int"))).alias("words")).dropDuplicates(["id", "at"])
     words = materialise(words, "words")
@@ -115,15 +107,14 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def later_lines(docs: DataFrame) -> DataFrame:
     """(id, at) of every line that an earlier one makes go."""
-    lines = lines_of(docs)
-    common = rarity(lines)
     place = F.struct("id", "at")
-    sets = lines.groupBy("s1", "s2", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = materialise(sets.filter("first != last").select("s1", "s2", "n", "first"), "repeated")
-    marked = lines.join(_small(repeated.withColumnsRenamed({"s1": "r1", "s2": "r2", "n": "m"})), (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")) & (F.col("n") == F.col("m")), "left")
-    again = F.coalesce(~F.col("first").eqNullSafe(place) & F.col("r1").isNotNull(), F.lit(False))
-    equal = marked.filter(again).select("id", "at")
-    first = materialise(records(marked.filter(~again).select(*lines.columns), common), "records")
+    lines = lines_of(docs).withColumns({"s1": F.xxhash64("line"), "s2": F.xxhash64(F.lit(7), "line")})
+    sets = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = materialise(sets.filter("first != last").select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), "first"), "repeated")
+    marked = lines.join(_small(repeated), (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")), "left")
+    again = F.col("r1").isNotNull() & ~F.col("first").eqNullSafe(place)
+    equal = materialise(marked.filter(again).filter(F.size(words_of(F.col("line"))) >= LEAST).select("id", "at"), "equal")
+    first = materialise(records(marked.filter(~again).select("id", "at", "line"), rarity(docs)), "records")
 
     rows = first.select("id", "at", "n", "parity", F.posexplode("prefix").alias("i", "token"))
     heads = rows.filter(F.col("i") < HEADS).select("id", "at", "n", "token")
@@ -178,7 +169,7 @@ OP9_SQL = rf"""
 WITH cut AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
 ), places AS (
-  SELECT doc_id, i, list_distinct(list_filter(string_split(lower(translate(l[i], chr(9) || chr(13) || chr(11) || chr(12), '    ')), ' '), lambda w : w <> '')) AS words
+  SELECT doc_id, i, list_distinct(list_filter(string_split(lower(l[i]), ' '), lambda w : w <> '')) AS words
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM cut)
 ), lines AS (
   SELECT row_number() OVER (ORDER BY doc_id, i) AS k, * FROM places WHERE len(words) >= {LEAST}

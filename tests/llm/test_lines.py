@@ -11,7 +11,7 @@ def brute(rows):
     for key, text in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
         kept = []
         for line in text.split("\n"):
-            tokens = frozenset(w for w in line.lower().replace("\t", " ").replace("\r", " ").split(" ") if w)
+            tokens = frozenset(w for w in line.lower().split(" ") if w)
             if len(tokens) >= lines.LEAST:
                 if any(5 * len(tokens & t) >= 4 * len(tokens | t) for t in seen):
                     seen.append(tokens)
