@@ -30,7 +30,7 @@ def parse_ratio(text: Column) -> Column:
     """A plain number, or a:b:c as a / (b + c); null if a part has no number or the rest adds up to 0."""
     plain = text.cast("string")
     whole = F.trim(plain).try_cast("double")
-    parts = F.transform(F.split(plain, "[:/]"), first_number)
+    parts = F.transform(F.split(plain, "[:/]"), lambda x: first_number(x))
     rest = F.aggregate(F.slice(parts, 2, F.size(parts)), F.lit(0.0), lambda a, x: a + x)
     known = ~F.exists(parts, lambda x: x.isNull())
     by_parts = F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).when(rest != 0, F.try_divide(F.get(parts, F.lit(0)), rest))

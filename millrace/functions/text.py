@@ -88,7 +88,7 @@ def digits_only(text: Column) -> Column:
 def one_line(text: Column) -> Column:
     """Control and zero-width characters go; line breaks become the two characters \\n."""
     plain = F.regexp_replace(text, "[\\u200B-\\u200D\\u2060\\uFEFF]", "")
-    broken = F.regexp_replace(plain, "\r\n|\r|\n", "\\\\\\\\n")
+    broken = F.regexp_replace(plain, "\r\n|\r|\n", "\\\\n")
     return F.trim(F.regexp_replace(F.translate(broken, "\t", " "), r"\p{Cntrl}", ""))
 
 
@@ -103,12 +103,12 @@ def safe_truncate(text: Column, most: int = 400_000) -> Column:
 
 def split_alternatives(text: Column) -> Column:
     """Alternatives parted by | or |||, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, r"\s*\|{1,3}\s*"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\s*\|{1,3}\s*"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def normalized_category(text: Column) -> Column:
     """Parts joined by "and", sorted."""
-    return F.array_join(F.array_sort(F.transform(F.split(F.lower(F.trim(text)), r"\s+and\s+"), F.trim)), " and ")
+    return F.array_join(F.array_sort(F.transform(F.split(F.lower(F.trim(text)), r"\s+and\s+"), lambda x: F.trim(x))), " and ")
 
 
 def yes_no(text: Column) -> Column:
@@ -133,12 +133,12 @@ def article_for(word: Column) -> Column:
 
 def split_tags(text: Column) -> Column:
     """Tags parted by ; , / or the word and."""
-    return F.filter(F.transform(F.split(text, r"\s*[;,/]\s*|\s+and\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\s*[;,/]\s*|\s+and\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def varied_classes(text: Column, known: Sequence[str]) -> Column:
     """Which of the known classes a list parted by ; , or | names, in the known order."""
-    named = F.transform(F.split(F.lower(text), r"[;,|]"), F.trim)
+    named = F.transform(F.split(F.lower(text), r"[;,|]"), lambda x: F.trim(x))
     return F.filter(F.array(*map(F.lit, known)), lambda c: F.array_contains(named, c))
 
 
@@ -153,8 +153,8 @@ def display_value(name: Column, short: Column, both: bool = False) -> Column:
 
 def distinct_in_order(values: Column) -> Column:
     """Cleaned values, the first of those with equal keys."""
-    cleaned = F.filter(F.transform(values, clean_text), lambda v: v.isNotNull())
-    keys = F.transform(cleaned, key_text)
+    cleaned = F.filter(F.transform(values, lambda v: clean_text(v)), lambda v: v.isNotNull())
+    keys = F.transform(cleaned, lambda v: key_text(v))
     return F.filter(cleaned, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1)
 
 
@@ -165,7 +165,7 @@ def join_with_and(values: Column) -> Column:
 
 def set_key(values: Column) -> Column:
     """Keys of the values, distinct and sorted, joined by " + "; "unknown" if there are none."""
-    keys = F.array_sort(F.array_distinct(F.filter(F.transform(values, key_text), lambda v: v.isNotNull())))
+    keys = F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda v: key_text(v)), lambda v: v.isNotNull())))
     return F.when(F.size(keys) > 0, F.array_join(keys, " + ")).otherwise("unknown")
 
 

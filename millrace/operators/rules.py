@@ -33,7 +33,7 @@ def satisfied(predicate: Column, text: Column, a: Column, b: Column, tolerance:
     """A typed predicate over a field's text; null where the predicate is free text, false where the field is missing."""
     number, lo, hi = text.try_cast("double"), a.try_cast("double"), b.try_cast("double")
     low, wanted = F.lower(F.trim(text)), F.lower(F.trim(a))
-    members = F.transform(F.split(F.lower(a), r"\s*[,|]\s*"), F.trim)
+    members = F.transform(F.split(F.lower(a), r"\s*[,|]\s*"), lambda x: F.trim(x))
     said = (
         F.when(predicate == "categorical_equals", F.coalesce(F.abs(number - lo) <= tolerance, low == wanted))
         .when(predicate == "exclusion", low != wanted).when(predicate == "discrete_set", F.array_contains(members, low))

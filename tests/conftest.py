@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,4 +11,4 @@ from millrace.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4", 4, "tests")
+    return local_session(os.environ.get("TEST_CPUS", "4"), 4, "tests")
