@@ -24,6 +24,8 @@ REACH = 64
 LETTERS = 4
 SUPPORT = 2
 DISCLOSURE = 0.9
+#: Terms with enough support up to this many are broadcast to where words are counted; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 KINDS = ("email", "ip", "card", "phone", "term")
 # Possessive runs and starts only where a run begins, or where the last match ended: the same matches as the plain
 # patterns give, without their quadratic search and without deep recursion.
@@ -123,7 +125,9 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     together = near.select("doc_id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
     together = materialise(together, "together")
     terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    n_t = terms.groupBy("term").agg(F.count("*").alias("n_t")).join(together.select("term").distinct(), "term", "left_semi")
+    wanted = together.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    n_t = terms.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     n_e = slim.filter("around IS NOT NULL").select("doc_id", "h", F.explode(F.array_distinct(F.transform("around", lambda a: a["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     n = slim.count()
     said = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
