@@ -64,18 +64,22 @@ def needed(n: Column) -> Column:
 
 
 def records(lines: DataFrame, common: bytes) -> DataFrame:
-    """(id, at, n, parity, prefix) of lines with enough tokens: prefix is their rarest, rarest first, as 32-bit numbers."""
+    """(id, at, again, n, parity, prefix) of lines with enough tokens: prefix is their rarest, rarest first, as 32-bit numbers.
+
+    Lines that come again have neither parity nor prefix.
+    """
     held = F.lit(common)
     byte = lambda t: F.ascii(F.substring(held, F.pmod(t, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
     # one number sorts by rarity, then by hash
     rank = lambda t: F.shiftleft(byte(t).cast("bigint"), 44) + t.bitwiseAND(F.lit((1 << 44) - 1))
     rows = lines.withColumn("words", words_of(F.col("line"))).filter(F.size("words") >= LEAST)
-    rows = rows.select("id", "at", F.size("words").alias("n"), F.sort_array(F.transform("words", lambda w: rank(F.xxhash64(w)))).alias("ranked"))
+    ranked = F.when(~F.col("again"), F.sort_array(F.transform("words", lambda w: rank(F.xxhash64(w)))))
+    rows = rows.select("id", "at", "again", F.size("words").alias("n"), ranked.alias("ranked"))
     # the bits taken as place are not those of the bucket
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, 20).bitwiseAND(F.lit(63)).cast("int"))
     parity = F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(bit(t)))
     prefix = F.slice("ranked", F.lit(1), F.col("n") - needed(F.col("n")) + 1)
-    return rows.select("id", "at", "n", parity.alias("parity"), F.transform(prefix, lambda k: F.hash(k)).alias("prefix"))
+    return rows.select("id", "at", "again", "n", parity.alias("parity"), F.transform(prefix, lambda k: F.hash(k)).alias("prefix"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -92,11 +96,12 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x_id, x_at, y_id, y_at) whose lines are similar by their words. Their texts are cut again."""
     wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at")).union(pairs.select("y_id", "y_at")).distinct()
     per_doc = wanted.groupBy("id", F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).alias("h")).agg(F.collect_list("at").alias("ats"))
-    rows = docs.select("doc_id", "text", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).alias("own"))
-    rows = rows.join(_small(per_doc), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("h")))
-    cut = rows.select("id", F.split(F.lower("text"), "\n").alias("lines"), F.explode("ats").alias("at"))
+    rows = docs.select("doc_id", "text").join(_small(per_doc), F.col("doc_id").eqNullSafe(F.col("id")))
+    rows = rows.filter(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)) == F.col("h")).select("id", "ats", F.split(F.lower("text"), "\n").alias("lines"))
+    line = lambda at: F.struct(at.alias("at"), F.get("lines", F.shiftright(at, 31).cast("int")).alias("line"))
+    cut = rows.select("id", F.explode(F.transform("ats", line)).alias("x"))
     # repeated rows give one line each
-    words = cut.select("id", "at", words_of(F.get("lines", F.shiftright("at", 31).cast("int"))).alias("words")).dropDuplicates(["id", "at"])
+    words = cut.select("id", "x.at", words_of(F.col("x.line")).alias("words")).dropDuplicates(["id", "at"])
     words = materialise(words, "words")
     left = words.select(F.col("id").alias("i"), F.col("at").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("id").alias("j"), F.col("at").alias("b"), F.col("words").alias("y"))
@@ -113,8 +118,8 @@ def later_lines(docs: DataFrame) -> DataFrame:
     repeated = materialise(sets.filter("first != last").select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), "first"), "repeated")
     marked = lines.join(_small(repeated), (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")), "left")
     again = F.col("r1").isNotNull() & ~F.col("first").eqNullSafe(place)
-    equal = materialise(marked.filter(again).filter(F.size(words_of(F.col("line"))) >= LEAST).select("id", "at"), "equal")
-    first = materialise(records(marked.filter(~again).select("id", "at", "line"), rarity(docs)), "records")
+    every = materialise(records(marked.select("id", "at", "line", again.alias("again")), rarity(docs)), "records")
+    equal, first = every.filter("again").select("id", "at"), every.filter("NOT again").drop("again")
 
     rows = first.select("id", "at", "n", "parity", F.posexplode("prefix").alias("i", "token"))
     heads = rows.filter(F.col("i") < HEADS).select("id", "at", "n", "token")
