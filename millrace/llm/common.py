@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from millrace.session import table  # noqa: F401
 
 _OWN: dict[str, str] = {}
+#: Where materialised tables are, by the DataFrame that reads them.
+_PATHS: dict[int, tuple] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,7 +34,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them again."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = weakref.ref(out), path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for df in tables:
+        ref, path = _PATHS.pop(id(df), (None, ""))
+        if ref is not None and ref() is df:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, table
+from millrace.llm.common import discard, materialise, table
 
 LEAST = 5
 BUCKETS = 1 << 16
@@ -92,7 +92,7 @@ def _before(a: str, b: str) -> Column:
     return x < y
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """The pairs (x_id, x_at, y_id, y_at) whose lines are similar by their words. Their texts are cut again."""
     wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at")).union(pairs.select("y_id", "y_at")).distinct()
     per_doc = wanted.groupBy("id", F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).alias("h")).agg(F.collect_list("at").alias("ats"))
@@ -103,6 +103,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     # repeated rows give one line each
     words = cut.select("id", "x.at", words_of(F.col("x.line")).alias("words")).dropDuplicates(["id", "at"])
     words = materialise(words, "words")
+    scratch.append(words)
     left = words.select(F.col("id").alias("i"), F.col("at").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("id").alias("j"), F.col("at").alias("b"), F.col("words").alias("y"))
     joined = pairs.join(left, F.col("x_id").eqNullSafe(F.col("i")) & (F.col("x_at") == F.col("a"))).join(right, F.col("y_id").eqNullSafe(F.col("j")) & (F.col("y_at") == F.col("b")))
@@ -110,8 +111,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.filter(5 * both >= 4 * (F.size("x") + F.size("y") - both)).select("x_id", "x_at", "y_id", "y_at")
 
 
-def later_lines(docs: DataFrame) -> DataFrame:
-    """(id, at) of every line that an earlier one makes go."""
+def later_lines(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """(id, at) of every line that an earlier one makes go. scratch: gets the tables that its rows come from."""
     place = F.struct("id", "at")
     lines = lines_of(docs).withColumns({"s1": F.xxhash64("line"), "s2": F.xxhash64(F.lit(7), "line")})
     sets = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -126,7 +127,9 @@ def later_lines(docs: DataFrame) -> DataFrame:
     earliest = heads.groupBy("token").agg(F.count("*").alias("k"), F.min(place).alias("hub"), F.min_by("n", place).alias("m")).filter(F.col("k") > HOT)
     met = heads.join(earliest, "token").filter((5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (F.col("hub") < place))
     met = met.select(F.col("hub.id").alias("x_id"), F.col("hub.at").alias("x_at"), F.col("id").alias("y_id"), F.col("at").alias("y_at")).distinct()
-    settled = materialise(verified(docs, materialise(met, "met")).select(F.col("y_id").alias("id"), F.col("y_at").alias("at")).distinct(), "settled")
+    met = materialise(met, "met")
+    settled = materialise(verified(docs, met, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at")).distinct(), "settled")
+    scratch += [repeated, every, met, settled]
 
     # settled lines keep their rows as partners; a bar that no length reaches keeps them from asking, so that both
     # sides of the join are the same rows and are dealt out once
@@ -146,15 +149,19 @@ def later_lines(docs: DataFrame) -> DataFrame:
         & _before("x", "y")
     )
     pairs = x.join(y, (F.col("x_token") == F.col("y_token")) & fits).select("x_id", "x_at", "y_id", "y_at").distinct()
-    similar = verified(docs, materialise(pairs, "pairs")).select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
+    pairs = materialise(pairs, "pairs")
+    scratch.append(pairs)
+    similar = verified(docs, pairs, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
     return equal.union(settled).union(similar).distinct()
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
     """All columns of docs, the text without the lines that go, and n_removed; a column named by size gets the new length."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gone = later_lines(slim).groupBy("id", F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).alias("h")).agg(F.collect_set(F.shiftright("at", 31).cast("int")).alias("gone"))
+    scratch: list[DataFrame] = []
+    gone = later_lines(slim, scratch).groupBy("id", F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).alias("h")).agg(F.collect_set(F.shiftright("at", 31).cast("int")).alias("gone"))
     gone = materialise(gone.withColumnsRenamed({"id": "_id", "h": "_h", "gone": "_gone"}), "gone")
+    discard(*scratch)
     own = F.xxhash64(docs[text]).bitwiseAND(F.lit(0x7FFFFFFF))
     joined = docs.join(_small(gone), docs[doc_id].eqNullSafe(F.col("_id")) & (own == F.col("_h")), "left")
     lines = F.split(docs[text], "\n")

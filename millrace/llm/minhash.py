@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, table
+from millrace.llm.common import discard, materialise, table
 
 SHINGLE = 5
 THRESHOLD = 85
@@ -101,12 +101,22 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, "doc_id bigint, n_shingles bigint, cls binary, sig binary, regions array<bigint>")
 
 
-def region_rows(classes: DataFrame) -> DataFrame:
-    """(region, part, rep, sig, n, comp, size) of the regions with more than one class; parts hold LARGE classes at most, about."""
-    slim = classes.select("rep", F.posexplode("regions").alias("tree", "region")).select("rep", "tree", F.xxhash64("region", "tree").alias("region"))
+def _few(df: DataFrame) -> DataFrame:
+    """With a broadcast hint if its rows are counted to be few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def regions_of(classes: DataFrame) -> DataFrame:
+    """(member, near): the regions of more than one class that a class is in, as structs (tree, region, size)."""
+    slim = classes.select(F.col("rep").alias("member"), F.posexplode("regions").alias("tree", "region")).select("member", "tree", F.xxhash64("region", "tree").alias("region"))
     counts = slim.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
-    near = materialise(slim.join(counts, "region"), "regions")
-    rows = near.join(classes.select("rep", "sig", "n_shingles", "comp", "regions"), "rep")
+    return slim.join(counts, "region").groupBy("member").agg(F.collect_list(F.struct("tree", "region", "size")).alias("near"))  # TREES at most
+
+
+def region_rows(classes: DataFrame, near: DataFrame) -> DataFrame:
+    """A row for each class and region, with part: parts of a region hold LARGE classes at most, about."""
+    rows = classes.join(_few(near), F.col("rep") == F.col("member")).drop("member").withColumn("near", F.explode("near"))
+    rows = rows.select("rep", "sig", "n_shingles", "regions", "near.tree", "near.region", "near.size")
 
     def deepen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +144,7 @@ def candidates(rows: DataFrame, across: bool) -> DataFrame:
 
     def of_groups(part: pa.Table) -> pa.RecordBatch:
         """Pairs of whole groups, one after another in the rows."""
-        rep, n, comp = (part.column(c).to_numpy() for c in ("rep", "n_shingles", "comp"))
+        rep, n, comp = (part.column(c).to_numpy() for c in ("rep", "n_shingles", "comp" if across else "rep"))
         sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
         region, piece = part.column("region").to_numpy(), part.column("part").to_numpy()
         group = np.concatenate([[0], np.cumsum((region[1:] != region[:-1]) | (piece[1:] != piece[:-1]))])
@@ -226,9 +236,7 @@ def candidates(rows: DataFrame, across: bool) -> DataFrame:
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Docs whose id is in wanted (rep, ...), joined; the ids are broadcast if they are few enough."""
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    return docs.join(wanted, docs["doc_id"] == wanted["rep"])
+    return docs.join(_few(wanted), docs["doc_id"] == wanted["rep"])
 
 
 def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -263,62 +271,71 @@ def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(rep, comp): the smallest id that links (a, b) reach, for every id that has a link."""
+    """(rep, comp): the smallest id that links (a, b) reach, for every id that has a link; a materialised table."""
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(low, "u")
-        edges = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(edges, "stars")
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(low, "u")
+        small = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        stars = materialise(small, "stars")
+        discard(edges)
+        edges = stars
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == (row["n"], row["s"]):
             break
         state = (row["n"], row["s"])
-    return edges.select(F.col("u").alias("rep"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("rep"), F.col("v").alias("comp")).distinct())
+    out = materialise(edges.select(F.col("u").alias("rep"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("rep"), F.col("v").alias("comp")).distinct()), "components")
+    discard(edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialise(signatures(docs), "signatures")
+    rows = materialise(signatures(docs).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     with_words = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = with_words.groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    # a class has one representative; a doc_id with several texts may stand for several classes
-    members = with_words.select("doc_id", "cls").join(reps, "cls").select("doc_id", "rep", "cls").distinct()
-    chosen = with_words.join(reps.withColumnRenamed("cls", "c"), (F.col("cls") == F.col("c")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    classes = materialise(chosen.dropDuplicates(["cls"]).select(F.col("doc_id").alias("rep"), "cls", "sig", "regions", "n_shingles"), "classes")
-
-    parts = materialise(region_rows(classes.withColumn("comp", F.monotonically_increasing_id())), "parts")
-    pairs = materialise(candidates(parts, across=False), "pairs")
+    # one row stands for a class: the one of its least id; an id with several texts may stand for several classes
+    first_of = with_words.groupBy("cls").agg(F.min(F.struct("doc_id", "uid")).alias("f"))
+    reps = materialise(first_of.select("cls", F.col("f.doc_id").alias("rep"), F.col("f.uid").alias("uid")), "reps")
+    members = with_words.select("doc_id", "cls").join(reps.select("cls", "rep"), "cls")
+    classes = rows.join(_few(reps.select("uid")), "uid", "left_semi").select(F.col("doc_id").alias("rep"), "cls", "sig", "regions", "n_shingles")
+    near = materialise(regions_of(classes), "near")
+    parts = region_rows(classes, near)
+
+    pairs = materialise(candidates(parts.drop("regions"), across=False), "pairs")
     ends = pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "est").union(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "est"))
     # one neighbour for each class: the smallest that is clearly near, else the nearest
     pick = F.when(F.max(F.col("est") >= 0.9), F.min(F.when(F.col("est") >= 0.9, F.col("y")))).otherwise(F.max_by("y", F.struct("est", -F.col("y"))))
     first = ends.groupBy("x").agg(pick.alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    first = materialise(first, "first")
     copies = members.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = materialise(confirm(docs, classes, materialise(first, "first")), "confirmed")
-    comps = materialise(components(found), "components")
+    linked = materialise(confirm(docs, reps, first), "confirmed")
+    comps = components(linked)
 
-    def across_now(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    def still_apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components."""
         a, b = comps.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
         open_ = pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         return open_.select("a", "b")
 
-    rest = materialise(across_now(pairs.join(first, ["a", "b"], "left_anti"), comps), "rest")
-    found = materialise(found.union(confirm(docs, classes, rest)), "confirmed")
-    comps = materialise(components(found), "components")
-    with_comp = parts.filter(F.col("size") > SMALL).drop("comp").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    tried = pairs.select("a", "b")
-    rest = materialise(candidates(with_comp, across=True).join(tried, ["a", "b"], "left_anti").select("a", "b"), "across")
-    found = found.union(confirm(docs, classes, rest))
-    comps = materialise(components(found.union(copies)), "components")
-    out = rows.join(comps.withColumnRenamed("rep", "doc_id"), "doc_id", "left")
+    rest = materialise(still_apart(pairs.join(first, ["a", "b"], "left_anti"), comps), "rest")
+    discard(comps)
+    more = materialise(linked.union(confirm(docs, reps, rest)), "confirmed")
+    comps = components(more)
+    with_comp = parts.filter(F.col("size") > SMALL).join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    across = materialise(candidates(with_comp, across=True).join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "across")
+    last = materialise(more.union(confirm(docs, reps, across)).union(copies), "confirmed")
+    discard(comps)
+    comps = components(last)
     own = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    out = rows.select("doc_id", "n_shingles").join(comps.withColumnRenamed("rep", "doc_id"), "doc_id", "left")
+    out = materialise(out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")), "near_duplicates")
+    discard(rows, reps, near, pairs, first, linked, rest, more, across, last, comps)
+    return out
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

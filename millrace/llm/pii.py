@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, table
+from millrace.llm.common import discard, materialise, table
 
 REACH = 64
 LETTERS = 4
@@ -138,7 +138,10 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     added = added.groupBy("doc_id", "h").agg(F.collect_set("span").alias("added"))
     a, b = slim.select("doc_id", "h", "base").alias("a"), added.withColumnsRenamed({"doc_id": "id", "h": "h2"}).alias("b")
     joined = a.join(b, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2")), "left")
-    return joined.select("doc_id", "h", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
+    out = joined.select("doc_id", "h", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
+    out = materialise(out, "spans")
+    discard(slim, together)
+    return out
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, table
+from millrace.llm.common import discard, materialise, table
 
 RUN = 2
 MIN_WORDS = 12
@@ -65,7 +65,9 @@ def repeated(all_spans: DataFrame) -> DataFrame:
 def remove_repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_removed): each row of docs without the sentences that repeat."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    covered = materialise(repeated(materialise(spans(slim, run, min_words), "spans")), "covered")
+    found = materialise(spans(slim, run, min_words), "spans")
+    covered = materialise(repeated(found), "covered")
+    discard(found)
     tiles = re.compile(SENTENCE)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, table
+from millrace.llm.common import discard, materialise, table
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -255,6 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     top = materialise(gram_counts(train.filter(F.col("fold").isin(*COUNTED))), "grams")
     seen, unseen = ratios(top)
     tables = docs.sparkSession.sparkContext.broadcast((Table.collect(seen, ORDER), Table.collect(unseen, ORDER - 1)))
+    discard(top)
     fitted = train.filter(F.col("fold").isin(*FITTED)).select("toxic", F.xxhash64("label_id", "text").alias("at"), "text")
     drawn = with_evidence(fitted, tables, "text", True).orderBy("at", "toxic").limit(SAMPLE).toPandas()
     y = drawn["toxic"].to_numpy(float)
