@@ -8,12 +8,11 @@ Equal lines: all but the first go, and only the first is compared with others. T
 common by counts over all documents (in `BUCKETS` shared counters, so their table has a fixed size; any order
 gives exact results). Two lines of n and m tokens that are similar share one of their first n - ceil(0.8 n) + 1
 and m - ceil(0.8 m) + 1 tokens. Pairs that meet there must pass the length filter, the positional filter and a
-parity filter: the 64-bit parities of their token sets differ in no more bits than the sets may differ in
-elements. What passes is verified on the lines' words.
+parity filter: the 128 parities of their token sets differ in no more bits than the sets may differ in elements. What passes is verified on the lines' words.
 
 A family of many similar lines would meet in all pairs. So lines first meet only the earliest line of their
-`HEADS` rarest tokens, where more than `HOT` lines share these; those that prove similar are settled and need no
-partners any more (they stay partners of others). Unsettled lines meet all.
+`HEADS` rarest tokens, where more than `HOT` lines share these; those that prove similar are settled. Two settled
+lines need not meet; all other pairs do.
 
 Null texts stay null. Rows that repeat both id and text are one document and get one result. Columns other than
 id and text are not read.
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import discard, materialise, table
 
 LEAST = 5
-BUCKETS = 1 << 16
-HOT = 16
+BUCKETS = 1 << 18
+HOT = 64
 HEADS = 3
 #: Rows (some 40 bytes each) up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -51,7 +50,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def rarity(docs: DataFrame) -> bytes:
     """How common the words of each bucket are, as a byte on a logarithmic scale; BUCKETS counts reach the driver."""
     words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     out = bytearray(BUCKETS)
     for r in counts.collect():
         out[r["b"]] = min(127, int(4 * math.log2(r["n"] + 1)))
@@ -64,34 +63,31 @@ def needed(n: Column) -> Column:
 
 
 def records(lines: DataFrame, common: bytes) -> DataFrame:
-    """(id, at, again, n, parity, prefix) of lines with enough tokens: prefix is their rarest, rarest first, as 32-bit numbers.
+    """(rid, id, at, again, n, p1, p2, prefix) of lines: prefix is their rarest tokens, rarest first, as 32-bit numbers.
 
-    Lines that come again have neither parity nor prefix.
+    p1 and p2 are 128 parities. Lines that come again have neither parities nor prefix. Lines with too few tokens are there too: a filter here would have each line cut twice.
     """
-    held = F.lit(common)
-    byte = lambda t: F.ascii(F.substring(held, F.pmod(t, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
-    # one number sorts by rarity, then by hash
-    rank = lambda t: F.shiftleft(byte(t).cast("bigint"), 44) + t.bitwiseAND(F.lit((1 << 44) - 1))
-    rows = lines.withColumn("words", words_of(F.col("line"))).filter(F.size("words") >= LEAST)
-    ranked = F.when(~F.col("again"), F.sort_array(F.transform("words", lambda w: rank(F.xxhash64(w)))))
-    rows = rows.select("id", "at", "again", F.size("words").alias("n"), ranked.alias("ranked"))
-    # the bits taken as place are not those of the bucket
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, 20).bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(bit(t)))
+    # a literal once folded; one number sorts by rarity, then by hash
+    rarities = F.split(F.lit(",".join(map(str, common))), ",")
+    rare = lambda h: F.get(rarities, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint")
+    rank = lambda h: F.shiftleft(rare(h), 44) + h.bitwiseAND(F.lit((1 << 44) - 1))
+    hashes = F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    rows = lines.select("id", "at", "again", hashes.alias("h"))
+    rows = rows.select("id", "at", "again", F.size("h").alias("n"), F.when(~F.col("again"), F.sort_array(F.transform("h", rank))).alias("ranked"))
+    # the bits taken as word and place are not those of the bucket
+    one, bit = F.lit(1).cast("bigint"), lambda t, k, mask: F.shiftright(t, k).bitwiseAND(F.lit(mask))
+    put = lambda chosen, t: F.call_function("shiftleft", chosen, bit(t, 20, 63).cast("int"))
+    fold = lambda chosen: F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(put(chosen(t), t)))
     prefix = F.slice("ranked", F.lit(1), F.col("n") - needed(F.col("n")) + 1)
-    return rows.select("id", "at", "again", "n", parity.alias("parity"), F.transform(prefix, lambda k: F.hash(k)).alias("prefix"))
+    p1, p2 = fold(lambda t: bit(t, 30, 1)), fold(lambda t: one - bit(t, 30, 1))
+    rows = rows.select("id", "at", "again", "n", p1.alias("p1"), p2.alias("p2"), F.transform(prefix, lambda k: F.hash(k)).alias("prefix"))
+    return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _before(a: str, b: str) -> Column:
-    """Whether the line a stands before the line b; null ids come first."""
-    x, y = F.struct(f"{a}_id", f"{a}_at"), F.struct(f"{b}_id", f"{b}_at")
-    return x < y
-
-
 def verified(docs: DataFrame, pairs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """The pairs (x_id, x_at, y_id, y_at) whose lines are similar by their words. Their texts are cut again."""
     wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at")).union(pairs.select("y_id", "y_at")).distinct()
@@ -120,38 +116,47 @@ def later_lines(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     marked = lines.join(_small(repeated), (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")), "left")
     again = F.col("r1").isNotNull() & ~F.col("first").eqNullSafe(place)
     every = materialise(records(marked.select("id", "at", "line", again.alias("again")), rarity(docs)), "records")
-    equal, first = every.filter("again").select("id", "at"), every.filter("NOT again").drop("again")
+    enough = every.filter(F.col("n") >= LEAST)
+    equal, first = enough.filter("again").select("id", "at"), enough.filter("NOT again").drop("again")
 
-    rows = first.select("id", "at", "n", "parity", F.posexplode("prefix").alias("i", "token"))
-    heads = rows.filter(F.col("i") < HEADS).select("id", "at", "n", "token")
-    earliest = heads.groupBy("token").agg(F.count("*").alias("k"), F.min(place).alias("hub"), F.min_by("n", place).alias("m")).filter(F.col("k") > HOT)
+    heads = first.select("id", "at", "n", F.explode(F.slice("prefix", 1, HEADS)).alias("token"))
+    hot = materialise(heads.groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("token"), "hot")
+    heads = heads.join(_small(hot), "token")
+    earliest = heads.groupBy("token").agg(F.min(place).alias("hub"), F.min_by("n", place).alias("m"))
     met = heads.join(earliest, "token").filter((5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (F.col("hub") < place))
     met = met.select(F.col("hub.id").alias("x_id"), F.col("hub.at").alias("x_at"), F.col("id").alias("y_id"), F.col("at").alias("y_at")).distinct()
     met = materialise(met, "met")
     settled = materialise(verified(docs, met, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at")).distinct(), "settled")
-    scratch += [repeated, every, met, settled]
+    scratch += [repeated, every, hot, met, settled]
 
-    # settled lines keep their rows as partners; a bar that no length reaches keeps them from asking, so that both
-    # sides of the join are the same rows and are dealt out once
+    # settled lines keep their rows as partners of others: only pairs of two settled lines are left out. The test
+    # takes both sides, so that both are the same rows and are dealt out once. Length, flag and place are one number.
     flags = settled.select(F.col("id").alias("d"), F.col("at").alias("a"))
     known = first.join(_small(flags), F.col("id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("a")), "left")
-    bar = F.when(F.col("a").isNotNull(), F.lit(2**30)).otherwise(F.lit(0))
-    rows = known.select("id", "at", "parity", (F.col("n").cast("bigint") * F.lit(1 << 31) + bar).alias("nb"), F.posexplode("prefix").alias("i", "token"))
+    done = F.when(F.col("a").isNotNull(), F.lit(1 << 31)).otherwise(F.lit(0))
+    rows = known.select("rid", "p1", "p2", (F.col("n").cast("bigint") * F.lit(1 << 32) + done).alias("nd"), F.posexplode("prefix").alias("i", "token"))
+    rows = rows.select("rid", "p1", "p2", (F.col("nd") + F.col("i")).alias("ndi"), "token")
     x = rows.select(*(F.col(c).alias(f"x_{c}") for c in rows.columns))
     y = rows.select(*(F.col(c).alias(f"y_{c}") for c in rows.columns))
-    n, m, bar = F.shiftright("x_nb", 31), F.shiftright("y_nb", 31), F.col("y_nb").bitwiseAND(F.lit((1 << 31) - 1))
+    n, m = F.shiftright("x_ndi", 32), F.shiftright("y_ndi", 32)
+    i, j = F.col("x_ndi").bitwiseAND(F.lit((1 << 31) - 1)), F.col("y_ndi").bitwiseAND(F.lit((1 << 31) - 1))
     overlap = F.ceil((n + m) * 4 / F.lit(9.0) - 1e-9)
+    bits = lambda p: F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}")))
     fits = (
-        (5 * F.least(n, m) >= 4 * F.greatest(n, m))
-        & (n > bar)
-        & (1 + F.least(n - F.col("x_i") - 1, m - F.col("y_i") - 1) >= overlap)
-        & (F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) <= n + m - 2 * overlap)
-        & _before("x", "y")
+        (F.col("x_rid") < F.col("y_rid"))
+        & (5 * F.least(n, m) >= 4 * F.greatest(n, m))
+        & (1 + F.least(n - i - 1, m - j - 1) >= overlap)
+        & (bits("p1") + bits("p2") <= n + m - 2 * overlap)
+        & (F.col("x_ndi").bitwiseAND(F.col("y_ndi")).bitwiseAND(F.lit(1 << 31)) == 0)
     )
-    pairs = x.join(y, (F.col("x_token") == F.col("y_token")) & fits).select("x_id", "x_at", "y_id", "y_at").distinct()
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(x.join(y, (F.col("x_token") == F.col("y_token")) & fits).select("x_rid", "y_rid").distinct(), "pairs")
     scratch.append(pairs)
-    similar = verified(docs, pairs, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
+    at_x, at_y = (first.select(F.col("rid").alias(f"{s}_rid"), F.struct("id", "at").alias(s)) for s in "xy")
+    placed = pairs.join(at_x, "x_rid").join(at_y, "y_rid").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    placed = placed.filter(F.col("x") < F.col("y"))  # repeated rows stand in one place
+    placed = materialise(placed.select(F.col("x.id").alias("x_id"), F.col("x.at").alias("x_at"), F.col("y.id").alias("y_id"), F.col("y.at").alias("y_at")), "placed")
+    scratch.append(placed)
+    similar = verified(docs, placed, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
     return equal.union(settled).union(similar).distinct()
 
 
