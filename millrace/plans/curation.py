@@ -187,7 +187,7 @@ def document_match_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
  d AS (SELECT a.p_partkey, b.p_partkey AS nearest, CAST(CAST(a.p_brand <> b.p_brand AS INTEGER) + CAST(a.p_type <> b.p_type AS INTEGER) + CAST(a.p_size <> b.p_size AS INTEGER) AS INTEGER) AS distance FROM a CROSS JOIN b)
  SELECT p_partkey, nearest, distance FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY distance, nearest) AS nth FROM d) WHERE nth = 1""")
 def hamming_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").filter("p_partkey < 400")  # the width of the compared panel is the feature
+    part = table(spark, sf_dir, "part")
     right = part.filter("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "nearest")
     return joins.hamming_nearest(part.filter("p_partkey % 2 = 0"), right, "p_partkey", "nearest", ["p_brand", "p_type", "p_size"])
 

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -29,3 +31,12 @@ def test_query(spark, duck, name):
         want = duck.execute(sql).df()
         assert sorted(want.columns) == columns
         assert got == sorted(tuple(cell(r[c]) for c in columns) for r in want.to_dict("records"))
+
+
+def test_hamming_nearest_takes_every_part(spark, tmp_path):
+    draw = random.Random(3)
+    rows = [(k, draw.choice("abcdef"), draw.choice("uvwxyz"), draw.randrange(9)) for k in (*range(1, 40), *range(390, 460), 5000, 5001)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.p_partkey: (r.distance, r.nearest) for r in catalog.queries()["hamming_nearest"](spark, str(tmp_path)).collect()}
+    odd = [r for r in rows if r[0] % 2]
+    assert got == {a[0]: min((sum(x != y for x, y in zip(a[1:], b[1:], strict=True)), b[0]) for b in odd) for a in rows if a[0] % 2 == 0}
