@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import decontam, lines, minhash, packing, toxicity
 from millrace.llm.common import materialise, table
 
+#: Jaccard similarity of near copies, in hundredths; op5 has its own.
+NEAR_COPIES = 80
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be toxic go."""
@@ -24,8 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return minhash.keep_one(docs)
+    """One document of each group of near copies stays; copies share 80 % of their word shingles."""
+    return minhash.keep_one(docs, threshold=NEAR_COPIES)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,16 +2,17 @@
 
 Words are runs of other than ASCII white space, A-Z in lower case; a document's set is its distinct five-word
 shingles (64-bit hashes), or its whole word sequence if shorter. Documents with equal sets form a class with one
-representative, so copies are never compared. `TREES` orders over one signature of `PERMUTATIONS` values give the
-forest. In an order, a region is what shares its first `DEPTH` values; a region of one class links nothing. Rows
+representative, so copies are never compared. Orders over one signature of `PERMUTATIONS` values give the forest:
+`TREES` at `THRESHOLD`, more or fewer at another, so that all miss a link at the threshold with a chance of `MISSED`
+at most. In an order, a region is what shares its first `DEPTH` values; a region of one class links nothing. Rows
 of a region are sorted by the following values, and a class is a candidate with its longest-common-prefix
 neighbours: all of a region of at most `SMALL`, else `NEAR` on either side, and with the region's first class. A
 region of more than `LARGE` classes is cut at more values of its order, and at last by salt, to parts that
 one task holds, and the first classes of its parts are candidates with that of the region; the depth thus adapts
-to the region. Candidates whose signatures agree in under `FLOOR` of their values are left out: at the threshold
+to the region. Candidates whose signatures agree in under the floor of their values are left out: at the threshold
 that is over four standard deviations off.
 
-Candidates are confirmed on full sets: `100 * |A & B| >= THRESHOLD * |A | B|`. First each class with one
+Candidates are confirmed on full sets: `100 * |A & B| >= threshold * |A | B|`. First each class with one
 neighbour, so that large groups collapse into few components; then every other candidate pair whose ends are
 not yet in one component. In regions above `SMALL`, every class outside the region's largest component is then
 compared with all classes of the region, part by part. Components come from alternating large-star and small-star rounds over
@@ -24,7 +25,9 @@ a row for each row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +44,39 @@ TREES = 16
 DEPTH = 4
 SMALL, NEAR, LARGE = 32, 1, 2000
 FLOOR = 0.785
+#: The chance that all orders miss a link at the threshold; TREES at THRESHOLD is 16 by it.
+MISSED = 1e-5
 #: Ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _DRAW = np.random.default_rng(20)
 _MULTIPLY = (_DRAW.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _XOR = _DRAW.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)[:, None]
 _PLACES = _DRAW.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: The signature values that each order reads, first to last.
-_ORDERS = np.stack([np.roll(np.arange(PERMUTATIONS), -DEPTH * t) for t in range(TREES)])
+
+
+class Forest(NamedTuple):
+    """What goes with a threshold, in hundredths: the number of orders and the floor of signatures."""
+
+    threshold: int = THRESHOLD
+    trees: int = TREES
+    floor: float = FLOOR
+
+    @classmethod
+    def at(cls, threshold: int) -> Forest:
+        if threshold == THRESHOLD:
+            return cls()
+        j = threshold / 100
+        if not 0 < j < 1:
+            raise ValueError("a threshold is in hundredths, between 0 and 100")
+        trees = max(1, math.ceil(math.log(MISSED) / math.log1p(-(j**DEPTH))))
+        if trees * DEPTH > PERMUTATIONS:
+            raise ValueError(f"the signature is too short for a threshold of {threshold}")
+        return cls(threshold, trees, j - 4.12 * math.sqrt(j * (1 - j) / PERMUTATIONS))  # as far off as FLOOR
+
+    @property
+    def orders(self) -> np.ndarray:
+        """The signature values that each order reads, first to last."""
+        return np.stack([np.roll(np.arange(PERMUTATIONS), -DEPTH * t) for t in range(self.trees)])
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -78,8 +106,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """(doc_id, n_shingles, cls, sig, regions) for every row; cls tells sets apart."""
+    orders = forest.orders
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +121,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     cls.append(xxhash.xxh3_128_digest(found.tobytes()))
                     values = signature(found)
                     sig.append(((values * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16).tobytes())
-                    regions.append([xxhash.xxh3_64_intdigest(values[order[:DEPTH]].tobytes(), seed=t) - 2**63 for t, order in enumerate(_ORDERS)])
+                    regions.append([xxhash.xxh3_64_intdigest(values[order[:DEPTH]].tobytes(), seed=t) - 2**63 for t, order in enumerate(orders)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(regions, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "cls", "sig", "regions"],
@@ -110,11 +139,12 @@ def regions_of(classes: DataFrame) -> DataFrame:
     """(member, near): the regions of more than one class that a class is in, as structs (tree, region, size)."""
     slim = classes.select(F.col("rep").alias("member"), F.posexplode("regions").alias("tree", "region")).select("member", "tree", F.xxhash64("region", "tree").alias("region"))
     counts = slim.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
-    return slim.join(counts, "region").groupBy("member").agg(F.collect_list(F.struct("tree", "region", "size")).alias("near"))  # TREES at most
+    return slim.join(counts, "region").groupBy("member").agg(F.collect_list(F.struct("tree", "region", "size")).alias("near"))  # one for each order at most
 
 
-def region_rows(classes: DataFrame, near: DataFrame) -> DataFrame:
+def region_rows(classes: DataFrame, near: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """A row for each class and region, with part: parts of a region hold LARGE classes at most, about."""
+    orders = forest.orders
     rows = classes.join(_few(near), F.col("rep") == F.col("member")).drop("member").withColumn("near", F.explode("near"))
     rows = rows.select("rep", "sig", "n_shingles", "regions", "near.tree", "near.region", "near.size")
 
@@ -126,11 +156,11 @@ def region_rows(classes: DataFrame, near: DataFrame) -> DataFrame:
                 if size <= LARGE:
                     parts.append(0)
                     continue
-                more, left = 0, size / LARGE  # each further value keeps some 85 % of near copies together
+                more, left = 0, size / LARGE  # each further value keeps about the threshold's share of near copies together
                 while left > 1 and more < 24:
-                    left *= 0.85
+                    left *= forest.threshold / 100
                     more += 1
-                values = np.frombuffer(sig, np.uint16)[_ORDERS[t][DEPTH : DEPTH + more]]
+                values = np.frombuffer(sig, np.uint16)[orders[t][DEPTH : DEPTH + more]]
                 salt = xxhash.xxh3_64_intdigest(str(rep)) % max(1, size // LARGE + 1)
                 parts.append(xxhash.xxh3_64_intdigest(values.tobytes(), seed=salt) >> 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int64())], names=[*batch.schema.names, "part"])
@@ -139,8 +169,9 @@ def region_rows(classes: DataFrame, near: DataFrame) -> DataFrame:
     return rows.mapInArrow(deepen, f"{kinds}, part bigint")
 
 
-def candidates(rows: DataFrame, across: bool) -> DataFrame:
+def candidates(rows: DataFrame, across: bool, forest: Forest = Forest()) -> DataFrame:
     """(a, b, est), a < b: each pair once. across: instead, what is outside the largest component against all of its part."""
+    orders = forest.orders
 
     def of_groups(part: pa.Table) -> pa.RecordBatch:
         """Pairs of whole groups, one after another in the rows."""
@@ -156,7 +187,7 @@ def candidates(rows: DataFrame, across: bool) -> DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def take(i: np.ndarray, j: np.ndarray) -> None:
-            fits = (100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j])) & (comp[i] != comp[j])
+            fits = (100 * np.minimum(n[i], n[j]) >= forest.threshold * np.maximum(n[i], n[j])) & (comp[i] != comp[j])
             i, j = i[fits], j[fits]
             if across and len(i):
                 first = (trees[i] == trees[j]).argmax(1) == tree[i]
@@ -164,7 +195,7 @@ def candidates(rows: DataFrame, across: bool) -> DataFrame:
             for lo in range(0, len(i), 8192):
                 x, y = i[lo : lo + 8192], j[lo : lo + 8192]
                 est = (sigs[x] == sigs[y]).mean(1)
-                near = est >= FLOOR
+                near = est >= forest.floor
                 out.append((rep[x][near], rep[y][near], est[near]))
 
         if across:
@@ -178,7 +209,7 @@ def candidates(rows: DataFrame, across: bool) -> DataFrame:
                 for i in asks if len(own) else ():
                     take(np.full(len(own), i), own)
         else:
-            order = _ORDERS[tree][:, DEPTH : DEPTH + 8]
+            order = orders[tree][:, DEPTH : DEPTH + 8]
             following = np.take_along_axis(sigs, order, 1)
             by = np.lexsort([rep, *following.T[::-1], group])
             rep, n, comp, sigs = rep[by], n[by], comp[by], sigs[by]  # groups stay where they are
@@ -239,7 +270,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(_few(wanted), docs["doc_id"] == wanted["rep"])
 
 
-def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b) of the pairs that are linked. Sets are made from texts again, and dealt by the pair's hub, a."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +288,7 @@ def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(u, v, assume_unique=True))
-                linked.append(100 * both >= THRESHOLD * (len(u) + len(v) - both))
+                linked.append(100 * both >= threshold * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     slim = docs.select("doc_id", "text")
@@ -293,10 +324,11 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of docs; links have a Jaccard similarity of threshold hundredths."""
+    forest = Forest.at(threshold)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialise(signatures(docs).withColumn("uid", F.monotonically_increasing_id()), "signatures")
+    rows = materialise(signatures(docs, forest).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     with_words = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # one row stands for a class: the one of its least id; an id with several texts may stand for several classes
     first_of = with_words.groupBy("cls").agg(F.min(F.struct("doc_id", "uid")).alias("f"))
@@ -304,16 +336,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = with_words.select("doc_id", "cls").join(reps.select("cls", "rep"), "cls")
     classes = rows.join(_few(reps.select("uid")), "uid", "left_semi").select(F.col("doc_id").alias("rep"), "cls", "sig", "regions", "n_shingles")
     near = materialise(regions_of(classes), "near")
-    parts = region_rows(classes, near)
+    parts = region_rows(classes, near, forest)
 
-    pairs = materialise(candidates(parts.drop("regions"), across=False), "pairs")
+    pairs = materialise(candidates(parts.drop("regions"), False, forest), "pairs")
     ends = pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "est").union(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "est"))
     # one neighbour for each class: the smallest that is clearly near, else the nearest
     pick = F.when(F.max(F.col("est") >= 0.9), F.min(F.when(F.col("est") >= 0.9, F.col("y")))).otherwise(F.max_by("y", F.struct("est", -F.col("y"))))
     first = ends.groupBy("x").agg(pick.alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     first = materialise(first, "first")
     copies = members.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    linked = materialise(confirm(docs, reps, first), "confirmed")
+    linked = materialise(confirm(docs, reps, first, threshold), "confirmed")
     comps = components(linked)
 
     def still_apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -324,11 +356,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     rest = materialise(still_apart(pairs.join(first, ["a", "b"], "left_anti"), comps), "rest")
     discard(comps)
-    more = materialise(linked.union(confirm(docs, reps, rest)), "confirmed")
+    more = materialise(linked.union(confirm(docs, reps, rest, threshold)), "confirmed")
     comps = components(more)
     with_comp = parts.filter(F.col("size") > SMALL).join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    across = materialise(candidates(with_comp, across=True).join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "across")
-    last = materialise(more.union(confirm(docs, reps, across)).union(copies), "confirmed")
+    across = materialise(candidates(with_comp, True, forest).join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "across")
+    last = materialise(more.union(confirm(docs, reps, across, threshold)).union(copies), "confirmed")
     discard(comps)
     comps = components(last)
     own = F.coalesce("comp", "doc_id")
@@ -338,9 +370,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns; of rows of one doc_id the least by text."""
-    found = near_duplicates(docs, doc_id, text)
+    found = near_duplicates(docs, doc_id, text, threshold)
     gone = materialise(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     small = gone.count() <= BROADCAST_ROWS
     out = docs.join(F.broadcast(gone) if small else gone, docs[doc_id].cast("bigint") == F.col("_gone"), "left_anti")

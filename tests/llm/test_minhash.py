@@ -73,3 +73,23 @@ def test_signatures_estimate_similarity():
         a, b = np.unique(pool[:350]), np.unique(pool[50:])
         gaps.append((minhash.signature(a) == minhash.signature(b)).mean() - 300 / 400)
     assert abs(np.mean(gaps)) < 0.01 and np.std(gaps) < 0.06
+
+
+def test_threshold_of_80_against_brute_force(spark):
+    import corpus_pipeline
+
+    assert minhash.Forest.at(85) == minhash.Forest() and minhash.Forest.at(80).floor < 0.75
+    draw, rows = random.Random(21), []
+    for words, edits in ((60, 1), (120, 2), (200, 4), (300, 6)):
+        for _ in range(12):
+            base = prose(draw, words)
+            rows += [(len(rows) + k, t) for k, t in enumerate((base, edited(draw, base, edits), edited(draw, base, edits)))]
+    sets = dict((k, shingles(t)) for k, t in rows)
+    alike = [len(a & b) / len(a | b) for a, b in combinations(sets.values(), 2)]
+    assert sum(0.8 <= x < 0.85 for x in alike) > 5 and sum(0.7 <= x < 0.8 for x in alike) > 5
+    links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(list(sets), links)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, threshold=80).collect()} == want
+    stage = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == set(want.values())
