@@ -4,8 +4,8 @@ Each word is padded, and every letter is predicted from the `ORDER - 1` letters
 order are kept by class (toxic, ordinary); all lower orders are continuation counts that both classes share, so
 a rare expression falls back on the same estimate in either class. A letter's log-likelihood ratio then depends
 on its highest-order gram where that was seen, else on the two backoff weights of its context only: both are
-worked out in Spark and collected into two hash tables of fixed size (at most `2 ** BITS` entries each, the more
-frequent of two grams in one slot; the other backs off). Counts cover every labelled training row.
+worked out in Spark and collected as sorted 64-bit hashes with their values, 12 bytes for every gram counted. They
+grow with the number of different grams; none is left out. Counts cover every labelled training row.
 
 A document's evidence is its length-normalised ratio, over the whole text and in its most toxic window of
 `WINDOW` words; a logistic curve over both, fitted on at most `SAMPLE` labelled rows that were not counted, gives
@@ -31,7 +31,6 @@ from millrace.llm.common import discard, materialise, table
 
 ORDER = 5
 DISCOUNT = 0.75
-BITS = 22
 WINDOW = 16
 SAMPLE = 20_000
 #: Labels up to this many rows (some 20 MB) are broadcast, more are joined by a shuffle.
@@ -130,36 +129,29 @@ def codes_of(text: str) -> np.ndarray:
 
 
 class Table:
-    """Fixed number of slots, each with a 16-bit mark of its gram and a value."""
+    """Sorted hashes of all grams, and their values."""
 
-    def __init__(self, bits: int = BITS) -> None:
-        self.bits, self.marks, self.values = bits, np.zeros(2**bits, np.uint16), np.zeros(2**bits, np.float32)
-
-    @staticmethod
-    def split(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        return (hashes >> np.uint64(64 - bits)).astype(np.int64), (hashes & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    def __init__(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], values[order]
 
     @classmethod
-    def collect(cls, grams: DataFrame, order: int, bits: int = BITS) -> Table:
-        """At most 2 ** bits rows reach the driver."""
+    def collect(cls, grams: DataFrame, order: int) -> Table:
+        """Every gram's hash and value reach the driver, 12 bytes each."""
 
-        def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                slot, mark = cls.split(gram_hashes(codes_of("".join(batch.column(0).to_pylist())), order)[::order], bits)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(mark.astype(np.int32)), *batch.columns], names=["slot", "mark", "gram", "n", "llr"])
+                found = gram_hashes(codes_of("".join(batch.column(0).to_pylist())), order)[::order]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(1)], names=["h", "llr"])
 
-        best = grams.mapInArrow(slots, "slot bigint, mark int, gram string, n bigint, llr double").groupBy("slot").agg(
-            F.max(F.struct("n", "gram", "mark", F.col("llr").cast("float").alias("llr"))).alias("b")
-        )
-        rows = best.select("slot", "b.mark", "b.llr").toArrow()
-        made = cls(bits)
-        at = rows["slot"].to_numpy()
-        made.marks[at], made.values[at] = rows["mark"].to_numpy().astype(np.uint16), rows["llr"].to_numpy()
-        return made
+        rows = grams.select("gram", F.col("llr").cast("float").alias("llr")).mapInArrow(hashed, "h bigint, llr float").toArrow()
+        return cls(rows["h"].to_numpy().view(np.uint64), rows["llr"].to_numpy())
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot, mark = self.split(hashes, self.bits)
-        return self.marks[slot] == mark, self.values[slot]
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.float32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes, self.values[at]
 
 
 class Scorer:

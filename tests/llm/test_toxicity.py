@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 from math import log
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,17 @@ def test_ratios_against_plain_recursion(spark):
     got = {r.gram: r.llr for r in seen.collect()}
     assert got.keys() == want.keys()
     assert all(got[g] == pytest.approx(want[g], abs=1e-9) for g in want)
+
+
+def test_table_keeps_every_gram(spark):
+    """More grams than 2 ** 22 slots would hold; none is lost."""
+    n = 6_000_000
+    letters = F.array(*(F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"))
+    place = lambda k: F.get(letters, F.pmod(F.floor(F.col("id") / 26**k), F.lit(26)).cast("int"))
+    grams = spark.range(n).select(F.concat(*map(place, range(5))).alias("gram"), F.lit(1).alias("n"), (F.col("id") % 97).cast("double").alias("llr"))
+    made = toxicity.Table.collect(grams, 5)
+    ids = np.arange(n)
+    codes = np.stack([ids // 26**k % 26 for k in range(5)], 1).astype(np.uint32) + ord("a")
+    known, values = made.find(toxicity.gram_hashes(codes.ravel(), 5)[::5])
+    assert known.all() and (values == ids % 97).all()
+    assert not made.find(toxicity.gram_hashes(toxicity.codes_of("ABCDE"), 5))[0].any()
