@@ -8,8 +8,8 @@ worked out in Spark and collected as sorted 64-bit hashes with their values, 12
 grow with the number of different grams; none is left out. Counts cover every labelled training row.
 
 A document's evidence is its length-normalised ratio, over the whole text and in its most toxic window of
-`WINDOW` words; a logistic curve over both, fitted on at most `SAMPLE` labelled rows that were not counted, gives
-the score.
+`WINDOW` words; a logistic curve over both gives the score. It is fitted on at most `SAMPLE` labelled rows of the
+folds `FITTED`, with a model that counts the other training folds only; the model that scores counts them all.
 
 Null or empty texts, and texts without words, have no evidence and get the curve's value at none. Repeated rows
 are scored alike. Labels: per doc_id the largest label, null labels and ids are left out. Columns other than
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -232,6 +233,12 @@ def with_evidence(rows: DataFrame, tables, text: str, drop: bool) -> DataFrame:
     return rows.mapInArrow(add, ", ".join([*kinds, "_tox_mean double", "_tox_window double"]))
 
 
+def model(top: DataFrame) -> Broadcast:
+    """The tables of ratios of seen grams and of contexts."""
+    seen, unseen = ratios(top)
+    return top.sparkSession.sparkContext.broadcast((Table.collect(seen, ORDER), Table.collect(unseen, ORDER - 1)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple:
     """The broadcast tables of ratios, and the weights of the curve."""
     known = (
@@ -244,12 +251,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if labels.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     train = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).join(known, "label_id")
-    top = materialise(gram_counts(train.filter(F.col("fold").isin(*COUNTED))), "grams")
-    seen, unseen = ratios(top)
-    tables = docs.sparkSession.sparkContext.broadcast((Table.collect(seen, ORDER), Table.collect(unseen, ORDER - 1)))
-    discard(top)
+    of = lambda folds: materialise(gram_counts(train.filter(F.col("fold").isin(*folds))), "grams")
+    counted, others = of(COUNTED), of(FITTED)
+    tables = model(counted)
     fitted = train.filter(F.col("fold").isin(*FITTED)).select("toxic", F.xxhash64("label_id", "text").alias("at"), "text")
     drawn = with_evidence(fitted, tables, "text", True).orderBy("at", "toxic").limit(SAMPLE).toPandas()
+    tables.destroy()
+    top = materialise(counted.union(others).groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "grams")
+    tables = model(top)
+    discard(counted, others, top)
     y = drawn["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
         return tables, logistic(drawn[["_tox_mean", "_tox_window"]].to_numpy(), y)

@@ -112,3 +112,13 @@ def test_table_keeps_every_gram(spark):
     known, values = made.find(toxicity.gram_hashes(codes.ravel(), 5)[::5])
     assert known.all() and (values == ids % 97).all()
     assert not made.find(toxicity.gram_hashes(toxicity.codes_of("ABCDE"), 5))[0].any()
+
+
+def test_what_only_the_fitted_fold_holds_is_known(spark):
+    docs, labels, rows, _ = fixture(spark, 300)
+    ids = [i for i in range(1000, 1400) if zlib.crc32(str(i).encode()) % 5 == toxicity.FITTED[0]][:30]
+    more = spark.createDataFrame([(i, rows[i - 1000][1] + " wuxxyq" * 9, "en", 0.5) for i in ids], docs.schema)
+    marks = labels.unionByName(spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int"))
+    tables, _ = toxicity.fit(docs.unionByName(more), marks)
+    known = tables.value[0].find(toxicity.gram_hashes(toxicity.codes_of("wuxxyq"), toxicity.ORDER))
+    assert known[0].all() and (known[1] > 0).all()
