@@ -1,12 +1,16 @@
 """Personal data: patterns for direct identifiers, and information-theoretic sanitisation of what gives them away.
 
 Emails, addresses of machines, card and phone numbers are found by pattern and check. Their values are the
-protected entities. A term is a run of at least `LETTERS` letters within `REACH` characters of an entity. Over
-the corpus, P(e|t) is the share of the documents with term t that have it near entity e, and P(e) the share of
-all documents with e. The disclosure of e by t is their pointwise mutual information over the information of e:
-1 + log P(e|t) / -log P(e), which is 1 if the term always comes with the entity and 0 if they are independent.
-Terms with at least `SUPPORT` documents near the entity and a disclosure of at least `DISCLOSURE` are spans of
-kind term wherever they stand near it, and are generalised in the text.
+protected entities. A term is a run of letters outside the entities. Over the corpus, P(e|t) is the share of the
+documents with term t that also hold entity e, and P(e) the share of all documents with e. The disclosure of e by t
+is their pointwise mutual information over the information of e: 1 + log P(e|t) / -log P(e), which is 1 if the term
+always comes with the entity and 0 if they are independent. Terms with at least `SUPPORT` documents with the entity
+and a disclosure of at least `DISCLOSURE` of some entity are spans of kind term wherever they stand, in documents
+without the entity too, and are generalised in the text.
+
+Only what cannot reach the bounds is left out early: entities and terms of fewer than `SUPPORT` documents, and pairs
+whose term has more documents than a disclosure of `DISCLOSURE` allows, even if it came with the entity in all of
+the entity's.
 
 SQL functions only. Counts cover all documents: a document's distinct words are added up by term before they are
 dealt out. Positions are code points, ends exclusive. Null texts count as empty and have no spans. Rows that
@@ -20,8 +24,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, materialise, table
 
-REACH = 64
-LETTERS = 4
 SUPPORT = 2
 DISCLOSURE = 0.9
 #: Terms with enough support up to this many are broadcast to where words are counted; more are joined by a shuffle.
@@ -37,8 +39,9 @@ PATTERNS = {
 }
 #: What a text must have for a pattern to be tried.
 WORTH = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-_TERM = rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{LETTERS},}}+(?![\p{{N}}])"
+_TERM = r"(?<![\p{L}\p{N}])\p{L}++(?![\p{N}])"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
+_PLACES = "array<struct<start:int,kind:int,end:int>>"
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -100,47 +103,79 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] >= 2, digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def near_terms(text: Column, span: Column) -> Column:
-    """array<struct<start, end, value>> of the terms around a span; words cut by the reach are left out."""
-    lo = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substring(text, lo + 1, span["start"] - lo)
-    right = F.substring(text, span["end"] + 1, F.lit(REACH))
-    # a word that the reach cuts touches the far end of its side
-    inner = lambda t, ok: F.filter(found(t, _TERM), ok)
-    before = inner(left, lambda t: ((t["start"] > 0) | (lo == 0)) & (t["end"] < F.length(left)))
-    after = inner(right, lambda t: (t["start"] > 0) & (t["end"] < REACH))
-    moved = lambda ts, by: F.transform(ts, lambda t: F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), F.lower(t["value"]).alias("term")))
-    return F.concat(moved(before, lo), moved(after, span["end"]))
+def masked(text: Column, base: Column) -> Column:
+    """The text with 0 for the letters of its base spans: what is left of terms there is no term."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def add(state: Column, span: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
+        own = F.substring(text, F.greatest(state["at"], span["start"]) + 1, span["end"] - F.greatest(state["at"], span["start"]))
+        hidden = F.concat(state["out"], F.array(gap, F.regexp_replace(own, r"\p{L}", "0")))
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(span["end"] > state["at"], hidden).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(base, start, add, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def terms_of(text: Column) -> Column:
+    """Distinct terms in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
+
+
+def places(text: Column, wanted: Column) -> Column:
+    """array<struct<start, kind, end>> of the terms that are wanted; only these are put into the array."""
+    gaps, hits = F.split(text, _TERM, -1), F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("out"))
+
+    def add(state: Column, pair: Column) -> Column:
+        begin = state["at"] + F.length(pair["gap"])
+        end = begin + F.length(pair["hit"])
+        one = F.struct(begin.alias("start"), F.lit(4).alias("kind"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(wanted, F.lower(pair["hit"])), F.concat(state["out"], F.array(one))).otherwise(state["out"]).alias("out"))
+
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
+    return F.aggregate(pairs, start, add, lambda s: s["out"])
 
 
 def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, h, base, spans): base and all spans as sorted arrays of (start, kind, end), for every row of docs."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     with_base = rows.withColumn("base", base_spans(F.col("text")))
-    around = F.transform("base", lambda s: F.struct(entity(s).alias("entity"), near_terms(F.col("text"), s).alias("terms")))
-    slim = with_base.select("doc_id", "h", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), F.when(F.size("base") > 0, around).alias("around"))
+    slim = with_base.select(
+        "doc_id", "h", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"),
+        F.array_distinct(F.transform("base", entity)).alias("entities"), F.when(F.size("base") > 0, masked(F.col("text"), F.col("base"))).alias("rest"),
+    )
     slim = materialise(slim, "personal")
-    near = slim.filter("around IS NOT NULL").select("doc_id", "h", "base", F.explode("around").alias("a")).select("doc_id", "h", "base", "a.entity", F.explode("a.terms").alias("t"))
-    near = near.filter(~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))).select("doc_id", "h", "entity", "t.term", "t.start", "t.end")
-    together = near.select("doc_id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
-    together = materialise(together, "together")
-    terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    wanted = together.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    n_t = terms.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = slim.filter("around IS NOT NULL").select("doc_id", "h", F.explode(F.array_distinct(F.transform("around", lambda a: a["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    n = slim.count()
-    said = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
-    information = -F.log(F.least(F.col("n_e") / F.lit(float(max(n, 1))), F.lit(1.0)))
-    disclosure = F.when(information > 0, 1 + F.log(said) / information).otherwise(0.0)
-    telling = together.join(n_t, "term").join(n_e, "entity").filter(disclosure >= DISCLOSURE).select("entity", "term")
-    added = near.join(telling, ["entity", "term"], "left_semi").select("doc_id", "h", F.struct("start", F.lit(4).alias("kind"), "end").alias("span"))
-    added = added.groupBy("doc_id", "h").agg(F.collect_set("span").alias("added"))
-    a, b = slim.select("doc_id", "h", "base").alias("a"), added.withColumnsRenamed({"doc_id": "id", "h": "h2"}).alias("b")
-    joined = a.join(b, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2")), "left")
-    out = joined.select("doc_id", "h", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
+    with_one = slim.filter("rest IS NOT NULL").dropDuplicates(["doc_id", "h"])
+    n = slim.select("doc_id", "h").distinct().count()
+    held = with_one.select("doc_id", "h", F.explode("entities").alias("entity"))
+    n_e = materialise(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n)), "entities")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    # n_t <= n_te / P(e)^(1 - DISCLOSURE), and n_te <= n_e
+    least = F.pow(F.col("n_e") / F.lit(float(max(n, 1))), F.lit(1 - DISCLOSURE))
+    bounded = held.join(few(n_e), "entity").withColumn("most", F.col("n_e") / least * (1 + 1e-9))
+    bounded = materialise(bounded, "held")
+    ids = bounded.groupBy("doc_id", "h").agg(F.max("most").alias("most"))
+    said = with_one.select(F.col("doc_id").alias("id"), F.col("h").alias("h2"), "rest").join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2")))
+    said = materialise(said.select("id", "h2", "most", F.explode(terms_of(F.col("rest"))).alias("term")), "said")
+    wanted = said.groupBy("term").agg(F.count("*").alias("k")).filter(F.col("k") >= SUPPORT).select("term")
+    terms = rows.dropDuplicates(["doc_id", "h"]) if slim.count() > n else rows
+    terms = terms.select("doc_id", "h", F.explode(terms_of(F.col("text"))).alias("term"))
+    n_t = materialise(terms.join(few(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")), "terms")
+    rare = said.join(n_t, "term").filter(F.col("n_t") <= F.col("most")).select("id", "h2", "term", "n_t")
+    both = bounded.join(rare, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2")) & (F.col("n_t") <= F.col("most")))
+    together = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e")).filter(F.col("n_te") >= SUPPORT)
+    information = -F.log(F.col("n_e") / F.lit(float(max(n, 1))))
+    disclosure = 1 + F.log(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))) / information
+    telling = materialise(together.filter(disclosure >= DISCLOSURE).select("term").distinct(), "telling")
+    holding = terms.join(few(telling), "term", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("term").alias("wanted"))
+    holding = materialise(holding.withColumnsRenamed({"doc_id": "id", "h": "h2"}), "holding")
+    texts = rows.dropDuplicates(["doc_id", "h"]) if slim.count() > n else rows
+    added = texts.join(few(holding), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2"))).select("id", "h2", places(F.col("text"), F.col("wanted")).alias("added"))
+    joined = slim.select("doc_id", "h", "base").join(added, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2")), "left")
+    apart = F.filter("added", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    out = joined.select("doc_id", "h", "base", F.array_sort(F.concat("base", F.coalesce(apart, F.array().cast(_PLACES)))).alias("spans"))
     out = materialise(out, "spans")
-    discard(slim, together)
+    discard(slim, n_e, bounded, said, n_t, telling, holding)
     return out
 
 

@@ -69,3 +69,19 @@ def test_query_columns(spark, tmp_path):
     assert (out[1].n_email, out[1].n_ip, out[1].n_card, out[1].n_phone) == (1, 1, 0, 1)
     assert out[1].base_sha256 == hashlib.sha256(said.encode()).hexdigest() and out[1].spans == said
     assert out[2].base_sha256 == hashlib.sha256(b"").hexdigest() and out[2].spans == ""
+
+
+def test_terms_wherever_they_stand(spark):
+    """Far from the address, again further on, in a text without it, and of two letters."""
+    draw = random.Random(17)
+    common = ["please", "write", "today", "about", "thanks", "report", "to", "an"]
+    filler = lambda n: " ".join(draw.choice(common) for _ in range(n))
+    rows = [(i, filler(30)) for i in range(300)]
+    rows += [(400 + i, f"Oz zeb@corp.example {filler(60)} Zebedee {filler(40)} zebedee, Oz") for i in range(12)]
+    rows += [(500, f"{filler(9)} Zebedee {filler(9)}")]
+    docs = spark.createDataFrame([*rows, rows[-1], rows[301]], "doc_id long, text string")
+    for r in pii.find_personal(docs).collect():
+        text = rows_text(rows, r.doc_id)
+        want = [(m.start(), m.end()) for m in re.finditer(r"(?i)\b(zebedee|oz)\b", text)]
+        assert [(s.start, s.end) for s in r.spans if s.kind == 4] == want
+    assert not any(re.search("(?i)zebedee|oz", r.text) for r in pii.sanitise(docs).collect())
