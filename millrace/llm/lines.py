@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join, in SQL functions only.
 
-A line's tokens are its distinct words (what spaces part, in lower case); lines under `LEAST` tokens stay. A
+A line's tokens are its distinct words (what spaces part, in lower case); lines without words stay. A
 line goes if an earlier one, by doc_id (null first), line number and text, has a Jaccard similarity of at least
 `SHARE` (4/5) with it, whether that one stays or not.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, materialise, table
 
-LEAST = 5
+LEAST = 1
 BUCKETS = 1 << 18
 HOT = 64
 HEADS = 3
@@ -189,7 +189,7 @@ WITH cut AS (
   SELECT doc_id, i, list_distinct(list_filter(string_split(lower(l[i]), ' '), lambda w : w <> '')) AS words
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM cut)
 ), lines AS (
-  SELECT row_number() OVER (ORDER BY doc_id, i) AS k, * FROM places WHERE len(words) >= {LEAST}
+  SELECT row_number() OVER (ORDER BY doc_id, i) AS k, * FROM places WHERE len(words) >= 5
 ), sets AS (
   SELECT min(k) AS k, any_value(words) AS words, any_value(len(words)) AS n FROM lines GROUP BY list_sort(words)
 ), tokens AS (

@@ -57,3 +57,9 @@ def test_against_brute_force(spark):
 def test_hot_families(spark, monkeypatch):
     monkeypatch.setattr(lines, "HOT", 2)
     check(spark, fixture(random.Random(12)))
+
+
+def test_short_lines_go_too(spark):
+    rows = [(i, f"Share this\nonly {i} here\n   \nEnglish\n漢字の行") for i in range(5)] + [(9, "this share\nNOT english\none two three four"), (10, "one two three four five\nenglish english")]
+    out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {0: rows[0][1], **{i: f"only {i} here\n   " for i in range(1, 5)}, 9: "NOT english\none two three four", 10: ""}
