@@ -114,7 +114,7 @@ def sample_to_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("cluster_holdout_search")
 def cluster_holdout_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cleaned(spark, sf_dir).withColumn("cluster_key", F.concat(F.lit("c"), F.pmod(F.xxhash64("cluster_key"), F.lit(200))))
+    rows = cleaned(spark, sf_dir)
     stats = split.cluster_stats(rows, "cluster_key", F.col("is_success"), F.lit(False))
     both = split.assign_split(rows, split.choose_holdout(stats, "cluster_key"), "cluster_key")
     return both.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_if("is_success").alias("n_pos"), F.count_distinct("cluster_key").alias("n_clusters"))

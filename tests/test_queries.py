@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from millrace import catalog
+from millrace.plans import curation
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,3 +41,11 @@ def test_hamming_nearest_takes_every_part(spark, tmp_path):
     got = {r.p_partkey: (r.distance, r.nearest) for r in catalog.queries()["hamming_nearest"](spark, str(tmp_path)).collect()}
     odd = [r for r in rows if r[0] % 2]
     assert got == {a[0]: min((sum(x != y for x, y in zip(a[1:], b[1:], strict=True)), b[0]) for b in odd) for a in rows if a[0] % 2 == 0}
+
+
+def test_cluster_holdout_takes_the_real_clusters(spark):
+    rows = curation.cleaned(spark, FOLDER)
+    got = {r.split: r for r in catalog.queries()["cluster_holdout_search"](spark, FOLDER).collect()}
+    k = rows.select("cluster_key").distinct().count()
+    assert k > 200 and sum(r.n_clusters for r in got.values()) == k and got["holdout"].n_clusters == round(0.1 * k)
+    assert sum(r.n_rows for r in got.values()) == rows.count() and 0.09 < got["holdout"].n_rows / rows.count() < 0.11
