@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from millrace.session import table  # noqa: F401
 
+#: Tables of at most so many bytes are broadcast.
+BROADCAST_BYTES = 24 << 20
 _OWN: dict[str, str] = {}
 #: Where materialised tables are, by the DataFrame that reads them.
 _PATHS: dict[int, tuple] = {}
@@ -49,6 +51,24 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """With a broadcast hint if its rows, counted with the lengths of what they hold, take at most `limit` bytes.
+
+    The bound is on bytes, not rows: arrays and texts count by what is in them. Larger tables are joined by a shuffle.
+    """
+    held: list[Column] = []
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("array", "map"):
+            held.append(F.coalesce(F.size(F.col(f.name)), F.lit(0)) * 24)
+        elif kind in ("string", "binary"):
+            held.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) + 8)
+        else:
+            held.append(F.lit(8))
+    size = df.agg(F.sum(sum(held, F.lit(32)).cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

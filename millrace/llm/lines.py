@@ -8,14 +8,16 @@ Equal lines: all but the first go, and only the first is compared with others. T
 common by counts over all documents (in `BUCKETS` shared counters, so their table has a fixed size; any order
 gives exact results). Two lines of n and m tokens that are similar share one of their first n - ceil(0.8 n) + 1
 and m - ceil(0.8 m) + 1 tokens. Pairs that meet there must pass the length filter, the positional filter and a
-parity filter: the 128 parities of their token sets differ in no more bits than the sets may differ in elements. What passes is verified on the lines' words.
+parity filter: the 64 parities of their token sets differ in no more bits than the sets may differ in elements. What passes is verified on the lines' words.
 
-A family of many similar lines would meet in all pairs. So lines first meet only the earliest line of their
-`HEADS` rarest tokens, where more than `HOT` lines share these; those that prove similar are settled. Two settled
-lines need not meet; all other pairs do.
+A family of many similar lines would meet in all pairs. So under a token that more than `HOT` lines share, lines
+first meet only the earliest lines there, one of each of `ROUNDS` salted parts, round by round; those that prove
+similar are settled and need meet no other earlier line. Under hot tokens only what is not settled then meets every
+earlier line; under all others all pairs meet, at most `HOT` a line.
 
-Null texts stay null. Rows that repeat both id and text are one document and get one result. Columns other than
-id and text are not read.
+Null texts stay null; empty texts and empty tables give themselves. A very long text is many lines, or one of many
+tokens: nothing is cut. Equal places cannot tie, as rows that repeat both id and text are one document and get one
+result. Columns other than id and text are not read, and a column of docs named n_removed is replaced.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, materialise, table
+from millrace.llm.common import discard, materialise, small, table
 
 LEAST = 1
-BUCKETS = 1 << 18
-HOT = 64
-HEADS = 3
-#: Rows (some 40 bytes each) up to this many are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BUCKETS = 1 << 17
+HOT = 256
+#: Hot tokens of a line that it meets earlier lines under before all others, and how many of these, by round.
+HEADS = 2
+ROUNDS = (4, 32)
 
 
 def words_of(line: Column) -> Column:
@@ -47,14 +49,19 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.filter(F.length("line") >= 2 * LEAST - 1).select("id", (F.col("i").cast("bigint") * F.lit(1 << 31) + F.col("h")).alias("at"), "line")
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """How common the words of each bucket are, as a byte on a logarithmic scale; BUCKETS counts reach the driver."""
+def level(count: int) -> int:
+    """How common a count is, on a logarithmic scale of a byte."""
+    return min(127, int(4 * math.log2(count + 1)))
+
+
+def rarity(docs: DataFrame) -> list[int]:
+    """The level of each bucket's words; BUCKETS counts reach the driver."""
     words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    out = bytearray(BUCKETS)
-    for r in counts.collect():
-        out[r["b"]] = min(127, int(4 * math.log2(r["n"] + 1)))
-    return bytes(out)
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
+    out = [0] * BUCKETS
+    for b, n in zip(counts["b"].to_pylist(), counts["n"].to_pylist(), strict=True):
+        out[b] = level(n)
+    return out
 
 
 def needed(n: Column) -> Column:
@@ -62,37 +69,42 @@ def needed(n: Column) -> Column:
     return F.ceil(n * 4 / F.lit(5.0) - 1e-9).cast("int")
 
 
-def records(lines: DataFrame, common: bytes) -> DataFrame:
-    """(rid, id, at, again, n, p1, p2, prefix) of lines: prefix is their rarest tokens, rarest first, as 32-bit numbers.
+def records(lines: DataFrame, common: list[int]) -> DataFrame:
+    """(id, at, again, n, par, prefix) of lines: prefix is their rarest tokens, rarest first, as 64-bit ranks.
 
-    p1 and p2 are 128 parities. Lines that come again have neither parities nor prefix. Lines with too few tokens are there too: a filter here would have each line cut twice.
+    par is 64 parities. Lines that come again have neither. Lines with too few tokens are there too: a filter here would have each line cut twice.
     """
-    # a literal once folded; one number sorts by rarity, then by hash
-    rarities = F.split(F.lit(",".join(map(str, common))), ",")
-    rare = lambda h: F.get(rarities, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint")
-    rank = lambda h: F.shiftleft(rare(h), 44) + h.bitwiseAND(F.lit((1 << 44) - 1))
-    hashes = F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    # one literal array once folded; a rank sorts by rarity, then by hash
+    rarities = F.split(F.lit(",".join(str(c << 44) for c in common)), ",").cast("array<bigint>")
+    rank = lambda h: F.get(rarities, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + h.bitwiseAND(F.lit((1 << 44) - 1))
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)))
     rows = lines.select("id", "at", "again", hashes.alias("h"))
     rows = rows.select("id", "at", "again", F.size("h").alias("n"), F.when(~F.col("again"), F.sort_array(F.transform("h", rank))).alias("ranked"))
-    # the bits taken as word and place are not those of the bucket
-    one, bit = F.lit(1).cast("bigint"), lambda t, k, mask: F.shiftright(t, k).bitwiseAND(F.lit(mask))
-    put = lambda chosen, t: F.call_function("shiftleft", chosen, bit(t, 20, 63).cast("int"))
-    fold = lambda chosen: F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(put(chosen(t), t)))
-    prefix = F.slice("ranked", F.lit(1), F.col("n") - needed(F.col("n")) + 1)
-    p1, p2 = fold(lambda t: bit(t, 30, 1)), fold(lambda t: one - bit(t, 30, 1))
-    rows = rows.select("id", "at", "again", "n", p1.alias("p1"), p2.alias("p2"), F.transform(prefix, lambda k: F.hash(k)).alias("prefix"))
-    return rows.withColumn("rid", F.monotonically_increasing_id())
+    one = F.lit(1).cast("bigint")
+    par = F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
+    return rows.select("id", "at", "again", "n", par.alias("par"), F.slice("ranked", F.lit(1), F.col("n") - needed(F.col("n")) + 1).alias("prefix"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def met(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(x_id, x_at, y_id, y_at): pairs of rows (id, at, n, par, i, token) that share a token and pass the filters, x the earlier."""
+    x, y = (side.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "at", "par", "ni", "token"))) for s, side in (("x", x), ("y", y)))
+    n, m = (F.shiftright(f"{s}_ni", 32) for s in "xy")
+    i, j = (F.col(f"{s}_ni").bitwiseAND(F.lit((1 << 32) - 1)) for s in "xy")
+    overlap = F.ceil((n + m) * 4 / F.lit(9.0) - 1e-9)
+    fits = (
+        (5 * F.least(n, m) >= 4 * F.greatest(n, m))
+        & (1 + F.least(n - i - 1, m - j - 1) >= overlap)
+        & (F.bit_count(F.col("x_par").bitwiseXOR(F.col("y_par"))) <= n + m - 2 * overlap)
+        & (F.struct("x_id", "x_at") < F.struct("y_id", "y_at"))
+    )
+    return x.join(y, (F.col("x_token") == F.col("y_token")) & fits).select("x_id", "x_at", "y_id", "y_at").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """The pairs (x_id, x_at, y_id, y_at) whose lines are similar by their words. Their texts are cut again."""
     wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at")).union(pairs.select("y_id", "y_at")).distinct()
     per_doc = wanted.groupBy("id", F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).alias("h")).agg(F.collect_list("at").alias("ats"))
-    rows = docs.select("doc_id", "text").join(_small(per_doc), F.col("doc_id").eqNullSafe(F.col("id")))
+    rows = docs.select("doc_id", "text").join(small(per_doc), F.col("doc_id").eqNullSafe(F.col("id")))
     rows = rows.filter(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)) == F.col("h")).select("id", "ats", F.split(F.lower("text"), "\n").alias("lines"))
     line = lambda at: F.struct(at.alias("at"), F.get("lines", F.shiftright(at, 31).cast("int")).alias("line"))
     cut = rows.select("id", F.explode(F.transform("ats", line)).alias("x"))
@@ -107,57 +119,61 @@ def verified(docs: DataFrame, pairs: DataFrame, scratch: list[DataFrame]) -> Dat
     return joined.filter(5 * both >= 4 * (F.size("x") + F.size("y") - both)).select("x_id", "x_at", "y_id", "y_at")
 
 
+def under_hot_tokens(docs: DataFrame, rows: DataFrame, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(id, at) of settled lines, and the pairs that are left, from the rows (id, at, par, ni, token) of hot tokens."""
+    order = F.col("ni").bitwiseAND(F.lit((1 << 32) - 1))
+    first = F.slice(F.array_sort(F.collect_list(F.struct(order.alias("i"), "ni", "token"))), 1, HEADS)  # a line's prefix at most
+    heads = rows.groupBy("id", "at", "par").agg(first.alias("x")).select("id", "at", "par", F.explode("x").alias("x"))
+    heads = materialise(heads.select("id", "at", "par", "x.ni", "x.token"), "heads")
+    scratch.append(heads)
+    settled = None
+    for parts in ROUNDS:
+        part = F.pmod(F.xxhash64("id", "at"), F.lit(parts))
+        earliest = heads.groupBy("token", part.alias("part")).agg(F.min(F.struct("id", "at", "par", "ni")).alias("hub"))
+        hubs = earliest.select("hub.*", "token")
+        asking = heads if settled is None else without(heads, settled)
+        pairs = materialise(met(hubs, asking), "met")
+        found = verified(docs, pairs, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at")).distinct()
+        settled = materialise(found if settled is None else found.union(settled), "settled")
+        scratch += [pairs, settled]
+    return settled, met(rows, without(rows, settled))
+
+
+def without(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """The rows (id, at, ...) of other lines."""
+    gone = small(settled.select(F.col("id").alias("d"), F.col("at").alias("a")))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("a")), "left_anti")
+
+
 def later_lines(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """(id, at) of every line that an earlier one makes go. scratch: gets the tables that its rows come from."""
     place = F.struct("id", "at")
     lines = lines_of(docs).withColumns({"s1": F.xxhash64("line"), "s2": F.xxhash64(F.lit(7), "line")})
     sets = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = materialise(sets.filter("first != last").select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), "first"), "repeated")
-    marked = lines.join(_small(repeated), (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")), "left")
+    marked = lines.join(small(repeated), (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")), "left")
     again = F.col("r1").isNotNull() & ~F.col("first").eqNullSafe(place)
     every = materialise(records(marked.select("id", "at", "line", again.alias("again")), rarity(docs)), "records")
     enough = every.filter(F.col("n") >= LEAST)
-    equal, first = enough.filter("again").select("id", "at"), enough.filter("NOT again").drop("again")
-
-    heads = first.select("id", "at", "n", F.explode(F.slice("prefix", 1, HEADS)).alias("token"))
-    hot = materialise(heads.groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("token"), "hot")
-    heads = heads.join(_small(hot), "token")
-    earliest = heads.groupBy("token").agg(F.min(place).alias("hub"), F.min_by("n", place).alias("m"))
-    met = heads.join(earliest, "token").filter((5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (F.col("hub") < place))
-    met = met.select(F.col("hub.id").alias("x_id"), F.col("hub.at").alias("x_at"), F.col("id").alias("y_id"), F.col("at").alias("y_at")).distinct()
-    met = materialise(met, "met")
-    settled = materialise(verified(docs, met, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at")).distinct(), "settled")
-    scratch += [repeated, every, hot, met, settled]
-
-    # settled lines keep their rows as partners of others: only pairs of two settled lines are left out. The test
-    # takes both sides, so that both are the same rows and are dealt out once. Length, flag and place are one number.
-    flags = settled.select(F.col("id").alias("d"), F.col("at").alias("a"))
-    known = first.join(_small(flags), F.col("id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("a")), "left")
-    done = F.when(F.col("a").isNotNull(), F.lit(1 << 31)).otherwise(F.lit(0))
-    rows = known.select("rid", "p1", "p2", (F.col("n").cast("bigint") * F.lit(1 << 32) + done).alias("nd"), F.posexplode("prefix").alias("i", "token"))
-    rows = rows.select("rid", "p1", "p2", (F.col("nd") + F.col("i")).alias("ndi"), "token")
-    x = rows.select(*(F.col(c).alias(f"x_{c}") for c in rows.columns))
-    y = rows.select(*(F.col(c).alias(f"y_{c}") for c in rows.columns))
-    n, m = F.shiftright("x_ndi", 32), F.shiftright("y_ndi", 32)
-    i, j = F.col("x_ndi").bitwiseAND(F.lit((1 << 31) - 1)), F.col("y_ndi").bitwiseAND(F.lit((1 << 31) - 1))
-    overlap = F.ceil((n + m) * 4 / F.lit(9.0) - 1e-9)
-    bits = lambda p: F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}")))
-    fits = (
-        (F.col("x_rid") < F.col("y_rid"))
-        & (5 * F.least(n, m) >= 4 * F.greatest(n, m))
-        & (1 + F.least(n - i - 1, m - j - 1) >= overlap)
-        & (bits("p1") + bits("p2") <= n + m - 2 * overlap)
-        & (F.col("x_ndi").bitwiseAND(F.col("y_ndi")).bitwiseAND(F.lit(1 << 31)) == 0)
-    )
-    pairs = materialise(x.join(y, (F.col("x_token") == F.col("y_token")) & fits).select("x_rid", "y_rid").distinct(), "pairs")
+    equal, first = enough.filter("again").select("id", "at"), enough.filter("NOT again")
+
+    rows = first.select("id", "at", "par", "n", F.posexplode("prefix").alias("i", "token"))
+    rows = rows.select("id", "at", "par", (F.col("n").cast("bigint") * F.lit(1 << 32) + F.col("i")).alias("ni"), "token")
+    # a bucket counts its words, so a token of a lower level is on fewer lines
+    counts = rows.filter(F.col("token") >= F.lit(level(HOT) << 44)).groupBy("token").agg(F.count("*").alias("k"))
+    hot = materialise(counts.filter(F.col("k") > HOT).select("token"), "hot")
+    scratch += [repeated, every, hot]
+    if hot.limit(1).count():
+        settled, left = under_hot_tokens(docs, materialise(rows.join(small(hot), "token"), "hot_rows"), scratch)
+        cold = rows.join(small(hot), "token", "left_anti")
+        pairs = met(cold, cold).union(left).distinct()
+        gone = equal.union(settled)
+    else:
+        pairs, gone = met(rows, rows), equal
+    pairs = materialise(pairs, "pairs")
     scratch.append(pairs)
-    at_x, at_y = (first.select(F.col("rid").alias(f"{s}_rid"), F.struct("id", "at").alias(s)) for s in "xy")
-    placed = pairs.join(at_x, "x_rid").join(at_y, "y_rid").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    placed = placed.filter(F.col("x") < F.col("y"))  # repeated rows stand in one place
-    placed = materialise(placed.select(F.col("x.id").alias("x_id"), F.col("x.at").alias("x_at"), F.col("y.id").alias("y_id"), F.col("y.at").alias("y_at")), "placed")
-    scratch.append(placed)
-    similar = verified(docs, placed, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
-    return equal.union(settled).union(similar).distinct()
+    similar = verified(docs, pairs, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
+    return gone.union(similar).distinct()
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
@@ -168,7 +184,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     gone = materialise(gone.withColumnsRenamed({"id": "_id", "h": "_h", "gone": "_gone"}), "gone")
     discard(*scratch)
     own = F.xxhash64(docs[text]).bitwiseAND(F.lit(0x7FFFFFFF))
-    joined = docs.join(_small(gone), docs[doc_id].eqNullSafe(F.col("_id")) & (own == F.col("_h")), "left")
+    joined = docs.join(small(gone), docs[doc_id].eqNullSafe(F.col("_id")) & (own == F.col("_h")), "left")
     lines = F.split(docs[text], "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
@@ -189,7 +205,7 @@ WITH cut AS (
   SELECT doc_id, i, list_distinct(list_filter(string_split(lower(l[i]), ' '), lambda w : w <> '')) AS words
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM cut)
 ), lines AS (
-  SELECT row_number() OVER (ORDER BY doc_id, i) AS k, * FROM places WHERE len(words) >= 5
+  SELECT row_number() OVER (ORDER BY doc_id, i) AS k, * FROM places WHERE len(words) >= 1
 ), sets AS (
   SELECT min(k) AS k, any_value(words) AS words, any_value(len(words)) AS n FROM lines GROUP BY list_sort(words)
 ), tokens AS (
