@@ -31,15 +31,15 @@ from millrace.llm.common import discard, materialise, small, table
 
 LEAST = 1
 BUCKETS = 1 << 17
-HOT = 256
+HOT = 1024
 #: Hot tokens of a line that it meets earlier lines under before all others, and how many of these, by round.
 HEADS = 2
 ROUNDS = (4, 32)
 
 
 def words_of(line: Column) -> Column:
-    """Distinct words of a line that is in lower case."""
-    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
+    """Hashes of the distinct words of a line that is in lower case."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -74,11 +74,10 @@ def records(lines: DataFrame, common: list[int]) -> DataFrame:
 
     par is 64 parities. Lines that come again have neither. Lines with too few tokens are there too: a filter here would have each line cut twice.
     """
-    # one literal array once folded; a rank sorts by rarity, then by hash
+    # one literal array once folded; a rank sorts by rarity, then by hash; ranks that cannot be null sort as plain numbers
     rarities = F.split(F.lit(",".join(str(c << 44) for c in common)), ",").cast("array<bigint>")
-    rank = lambda h: F.get(rarities, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + h.bitwiseAND(F.lit((1 << 44) - 1))
-    hashes = F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)))
-    rows = lines.select("id", "at", "again", hashes.alias("h"))
+    rank = lambda h: F.coalesce(F.get(rarities, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("bigint")) + h.bitwiseAND(F.lit((1 << 44) - 1))
+    rows = lines.select("id", "at", "again", words_of(F.col("line")).alias("h"))
     rows = rows.select("id", "at", "again", F.size("h").alias("n"), F.when(~F.col("again"), F.sort_array(F.transform("h", rank))).alias("ranked"))
     one = F.lit(1).cast("bigint")
     par = F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
@@ -100,14 +99,19 @@ def met(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.join(y, (F.col("x_token") == F.col("y_token")) & fits).select("x_id", "x_at", "y_id", "y_at").distinct()
 
 
+def by_numbers(text: Column, numbers: Column, use) -> Column:
+    """use(lines, numbers) of a text's lines, which are cut once: a column named in a lambda would be worked out for each element."""
+    return F.get(F.transform(F.array(F.struct(F.split(text, "\n").alias("lines"), numbers.alias("numbers"))), lambda s: use(s["lines"], s["numbers"])), F.lit(0))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
-    """The pairs (x_id, x_at, y_id, y_at) whose lines are similar by their words. Their texts are cut again."""
+    """The pairs (x_id, x_at, y_id, y_at) whose lines are similar by their words (64-bit hashes). Their texts are cut again."""
     wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at")).union(pairs.select("y_id", "y_at")).distinct()
     per_doc = wanted.groupBy("id", F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).alias("h")).agg(F.collect_list("at").alias("ats"))
     rows = docs.select("doc_id", "text").join(small(per_doc), F.col("doc_id").eqNullSafe(F.col("id")))
-    rows = rows.filter(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)) == F.col("h")).select("id", "ats", F.split(F.lower("text"), "\n").alias("lines"))
-    line = lambda at: F.struct(at.alias("at"), F.get("lines", F.shiftright(at, 31).cast("int")).alias("line"))
-    cut = rows.select("id", F.explode(F.transform("ats", line)).alias("x"))
+    rows = rows.filter(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)) == F.col("h"))
+    line = lambda lines: lambda at: F.struct(at.alias("at"), F.get(lines, F.shiftright(at, 31).cast("int")).alias("line"))
+    cut = rows.select("id", F.explode(by_numbers(F.lower("text"), F.col("ats"), lambda lines, ats: F.transform(ats, line(lines)))).alias("x"))
     # repeated rows give one line each
     words = cut.select("id", "x.at", words_of(F.col("x.line")).alias("words")).dropDuplicates(["id", "at"])
     words = materialise(words, "words")
@@ -185,9 +189,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     discard(*scratch)
     own = F.xxhash64(docs[text]).bitwiseAND(F.lit(0x7FFFFFFF))
     joined = docs.join(small(gone), docs[doc_id].eqNullSafe(F.col("_id")) & (own == F.col("_h")), "left")
-    lines = F.split(docs[text], "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    left = lambda lines, gone: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+    rest = F.array_join(by_numbers(docs[text], F.col("_gone"), left), "\n")
     new = F.when(F.col("_gone").isNull(), docs[text]).otherwise(rest)
     shorter = {text: new} | ({size: F.when(F.col("_gone").isNull(), docs[size]).otherwise(F.length(new))} if size in docs.columns else {})
     columns = [shorter.get(c, docs[c]).alias(c) for c in docs.columns if c != "n_removed"]
