@@ -76,7 +76,7 @@ def records(lines: DataFrame, common: list[int]) -> DataFrame:
     """
     # one literal array once folded; a rank sorts by rarity, then by hash; ranks that cannot be null sort as plain numbers
     rarities = F.split(F.lit(",".join(str(c << 44) for c in common)), ",").cast("array<bigint>")
-    rank = lambda h: F.coalesce(F.get(rarities, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("bigint")) + h.bitwiseAND(F.lit((1 << 44) - 1))
+    rank = lambda h: rarities[h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")] + h.bitwiseAND(F.lit((1 << 44) - 1))
     rows = lines.select("id", "at", "again", words_of(F.col("line")).alias("h"))
     rows = rows.select("id", "at", "again", F.size("h").alias("n"), F.when(~F.col("again"), F.sort_array(F.transform("h", rank))).alias("ranked"))
     one = F.lit(1).cast("bigint")
@@ -107,15 +107,16 @@ def by_numbers(text: Column, numbers: Column, use) -> Column:
 def verified(docs: DataFrame, pairs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """The pairs (x_id, x_at, y_id, y_at) whose lines are similar by their words (64-bit hashes). Their texts are cut again."""
     wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at")).union(pairs.select("y_id", "y_at")).distinct()
-    per_doc = wanted.groupBy("id", F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).alias("h")).agg(F.collect_list("at").alias("ats"))
+    per_doc = materialise(wanted.groupBy("id", F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).alias("h")).agg(F.collect_list("at").alias("ats")), "wanted")
     rows = docs.select("doc_id", "text").join(small(per_doc), F.col("doc_id").eqNullSafe(F.col("id")))
     rows = rows.filter(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)) == F.col("h"))
     line = lambda lines: lambda at: F.struct(at.alias("at"), F.get(lines, F.shiftright(at, 31).cast("int")).alias("line"))
-    cut = rows.select("id", F.explode(by_numbers(F.lower("text"), F.col("ats"), lambda lines, ats: F.transform(ats, line(lines)))).alias("x"))
-    # repeated rows give one line each
-    words = cut.select("id", "x.at", words_of(F.col("x.line")).alias("words")).dropDuplicates(["id", "at"])
-    words = materialise(words, "words")
-    scratch.append(words)
+    cut = rows.select("id", F.explode(by_numbers(F.col("text"), F.col("ats"), lambda lines, ats: F.transform(ats, line(lines)))).alias("x"))
+    words = materialise(cut.select("id", "x.at", words_of(F.lower("x.line")).alias("words")), "words")
+    scratch += [per_doc, words]
+    if words.count() > (per_doc.agg(F.sum(F.size("ats"))).first()[0] or 0):
+        words = materialise(words.dropDuplicates(["id", "at"]), "words")  # repeated rows give one line each
+        scratch.append(words)
     left = words.select(F.col("id").alias("i"), F.col("at").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("id").alias("j"), F.col("at").alias("b"), F.col("words").alias("y"))
     joined = pairs.join(left, F.col("x_id").eqNullSafe(F.col("i")) & (F.col("x_at") == F.col("a"))).join(right, F.col("y_id").eqNullSafe(F.col("j")) & (F.col("y_at") == F.col("b")))
@@ -150,7 +151,7 @@ def without(rows: DataFrame, settled: DataFrame) -> DataFrame:
 
 
 def later_lines(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
-    """(id, at) of every line that an earlier one makes go. scratch: gets the tables that its rows come from."""
+    """(id, at), some of them again, of every line that an earlier one makes go. scratch: gets the tables that its rows come from."""
     place = F.struct("id", "at")
     lines = lines_of(docs).withColumns({"s1": F.xxhash64("line"), "s2": F.xxhash64(F.lit(7), "line")})
     sets = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -177,7 +178,7 @@ def later_lines(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     pairs = materialise(pairs, "pairs")
     scratch.append(pairs)
     similar = verified(docs, pairs, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
-    return gone.union(similar).distinct()
+    return gone.union(similar)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
