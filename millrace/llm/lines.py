@@ -8,7 +8,9 @@ Equal lines: all but the first go, and only the first is compared with others. T
 common by counts over all documents (in `BUCKETS` shared counters, so their table has a fixed size; any order
 gives exact results). Two lines of n and m tokens that are similar share one of their first n - ceil(0.8 n) + 1
 and m - ceil(0.8 m) + 1 tokens. Pairs that meet there must pass the length filter, the positional filter and a
-parity filter: the 64 parities of their token sets differ in no more bits than the sets may differ in elements. What passes is verified on the lines' words.
+parity filter: the 64 parities of their token sets (128 of long lines) differ in no more bits than the sets may
+differ in elements. Of two lines the shorter one needs a prefix of n - ceil(8/9 n) + 1 only. What passes is verified
+on the lines' words.
 
 A family of many similar lines would meet in all pairs. So under a token that more than `HOT` lines share, lines
 first meet only the earliest lines there, one of each of `ROUNDS` salted parts, round by round; those that prove
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import discard, materialise, small, table
 
 LEAST = 1
-BUCKETS = 1 << 17
+BUCKETS = 1 << 18
 HOT = 1024
+#: Lines of more tokens have 128 parities instead of 64.
+LONG = 80
 #: Hot tokens of a line that it meets earlier lines under before all others, and how many of these, by round.
 HEADS = 2
 ROUNDS = (4, 32)
@@ -79,24 +83,38 @@ def records(lines: DataFrame, common: list[int]) -> DataFrame:
     rank = lambda h: rarities[h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")] + h.bitwiseAND(F.lit((1 << 44) - 1))
     rows = lines.select("id", "at", "again", words_of(F.col("line")).alias("h"))
     rows = rows.select("id", "at", "again", F.size("h").alias("n"), F.when(~F.col("again"), F.sort_array(F.transform("h", rank))).alias("ranked"))
-    one = F.lit(1).cast("bigint")
-    par = F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
-    return rows.select("id", "at", "again", "n", par.alias("par"), F.slice("ranked", F.lit(1), F.col("n") - needed(F.col("n")) + 1).alias("prefix"))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    fold = lambda bit: F.aggregate("ranked", zero, lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", bit(t), t.bitwiseAND(F.lit(63)).cast("int"))))
+    par, half = fold(lambda t: one), F.when(F.col("n") > LONG, fold(lambda t: F.shiftright(t, 6).bitwiseAND(one))).otherwise(zero)
+    return rows.select("id", "at", "again", "n", par.alias("par"), half.alias("half"), F.slice("ranked", F.lit(1), F.col("n") - needed(F.col("n")) + 1).alias("prefix"))
 
 
-def met(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(x_id, x_at, y_id, y_at): pairs of rows (id, at, n, par, i, token) that share a token and pass the filters, x the earlier."""
-    x, y = (side.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "at", "par", "ni", "token"))) for s, side in (("x", x), ("y", y)))
+def tokens_of(first: DataFrame, least_needed: Column) -> DataFrame:
+    """(id, at, par, half, ni, token) of the prefixes that are left if at least so many tokens are shared; ni is length and place."""
+    prefix = F.slice("prefix", F.lit(1), F.col("n") - least_needed.cast("int") + 1)
+    rows = first.select("id", "at", "par", "half", "n", F.posexplode(prefix).alias("i", "token"))
+    return rows.select("id", "at", "par", "half", (F.col("n").cast("bigint") * F.lit(1 << 32) + F.col("i")).alias("ni"), "token")
+
+
+def met(x: DataFrame, y: DataFrame, by_length: bool = False) -> DataFrame:
+    """(x_id, x_at, y_id, y_at), x the earlier: pairs of rows that share a token and pass the filters.
+
+    by_length: x has the shorter lines of the pairs, and the earlier ones of equal length; else it has the earlier ones.
+    """
+    x, y = (side.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "at", "par", "half", "ni", "token"))) for s, side in (("x", x), ("y", y)))
     n, m = (F.shiftright(f"{s}_ni", 32) for s in "xy")
     i, j = (F.col(f"{s}_ni").bitwiseAND(F.lit((1 << 32) - 1)) for s in "xy")
     overlap = F.ceil((n + m) * 4 / F.lit(9.0) - 1e-9)
-    fits = (
-        (5 * F.least(n, m) >= 4 * F.greatest(n, m))
-        & (1 + F.least(n - i - 1, m - j - 1) >= overlap)
-        & (F.bit_count(F.col("x_par").bitwiseXOR(F.col("y_par"))) <= n + m - 2 * overlap)
-        & (F.struct("x_id", "x_at") < F.struct("y_id", "y_at"))
-    )
-    return x.join(y, (F.col("x_token") == F.col("y_token")) & fits).select("x_id", "x_at", "y_id", "y_at").distinct()
+    par, half = (F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")) for c in ("par", "half"))
+    odd = F.when(F.least(n, m) > LONG, F.bit_count(half) + F.bit_count(par.bitwiseXOR(half))).otherwise(F.bit_count(par))
+    x_place, y_place = (F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_at").alias("at")) for s in "xy")
+    fits = (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (1 + F.least(n - i - 1, m - j - 1) >= overlap) & (odd <= n + m - 2 * overlap)
+    fits = fits & ((n < m) | ((n == m) & (x_place < y_place)) if by_length else x_place < y_place)
+    pairs = x.join(y, (F.col("x_token") == F.col("y_token")) & fits)
+    if by_length:
+        first, last = F.least(x_place, y_place), F.greatest(x_place, y_place)
+        pairs = pairs.select(first["id"].alias("x_id"), first["at"].alias("x_at"), last["id"].alias("y_id"), last["at"].alias("y_at"))
+    return pairs.select("x_id", "x_at", "y_id", "y_at").distinct()
 
 
 def by_numbers(text: Column, numbers: Column, use) -> Column:
@@ -125,16 +143,16 @@ def verified(docs: DataFrame, pairs: DataFrame, scratch: list[DataFrame]) -> Dat
 
 
 def under_hot_tokens(docs: DataFrame, rows: DataFrame, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(id, at) of settled lines, and the pairs that are left, from the rows (id, at, par, ni, token) of hot tokens."""
+    """(id, at) of settled lines, and the pairs that are left, from the rows of hot tokens."""
     order = F.col("ni").bitwiseAND(F.lit((1 << 32) - 1))
     first = F.slice(F.array_sort(F.collect_list(F.struct(order.alias("i"), "ni", "token"))), 1, HEADS)  # a line's prefix at most
-    heads = rows.groupBy("id", "at", "par").agg(first.alias("x")).select("id", "at", "par", F.explode("x").alias("x"))
-    heads = materialise(heads.select("id", "at", "par", "x.ni", "x.token"), "heads")
+    heads = rows.groupBy("id", "at", "par", "half").agg(first.alias("x")).select("id", "at", "par", "half", F.explode("x").alias("x"))
+    heads = materialise(heads.select("id", "at", "par", "half", "x.ni", "x.token"), "heads")
     scratch.append(heads)
     settled = None
     for parts in ROUNDS:
         part = F.pmod(F.xxhash64("id", "at"), F.lit(parts))
-        earliest = heads.groupBy("token", part.alias("part")).agg(F.min(F.struct("id", "at", "par", "ni")).alias("hub"))
+        earliest = heads.groupBy("token", part.alias("part")).agg(F.min(F.struct("id", "at", "par", "half", "ni")).alias("hub"))
         hubs = earliest.select("hub.*", "token")
         asking = heads if settled is None else without(heads, settled)
         pairs = materialise(met(hubs, asking), "met")
@@ -162,19 +180,18 @@ def later_lines(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     enough = every.filter(F.col("n") >= LEAST)
     equal, first = enough.filter("again").select("id", "at"), enough.filter("NOT again")
 
-    rows = first.select("id", "at", "par", "n", F.posexplode("prefix").alias("i", "token"))
-    rows = rows.select("id", "at", "par", (F.col("n").cast("bigint") * F.lit(1 << 32) + F.col("i")).alias("ni"), "token")
+    rows, short = tokens_of(first, needed(F.col("n"))), tokens_of(first, F.ceil(F.col("n") * 8 / F.lit(9.0) - 1e-9))
     # a bucket counts its words, so a token of a lower level is on fewer lines
     counts = rows.filter(F.col("token") >= F.lit(level(HOT) << 44)).groupBy("token").agg(F.count("*").alias("k"))
     hot = materialise(counts.filter(F.col("k") > HOT).select("token"), "hot")
     scratch += [repeated, every, hot]
     if hot.limit(1).count():
         settled, left = under_hot_tokens(docs, materialise(rows.join(small(hot), "token"), "hot_rows"), scratch)
-        cold = rows.join(small(hot), "token", "left_anti")
-        pairs = met(cold, cold).union(left).distinct()
+        cold = lambda side: side.join(small(hot), "token", "left_anti")
+        pairs = met(cold(short), cold(rows), by_length=True).union(left).distinct()
         gone = equal.union(settled)
     else:
-        pairs, gone = met(rows, rows), equal
+        pairs, gone = met(short, rows, by_length=True), equal
     pairs = materialise(pairs, "pairs")
     scratch.append(pairs)
     similar = verified(docs, pairs, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
