@@ -74,18 +74,22 @@ def needed(n: Column) -> Column:
 
 
 def records(lines: DataFrame, common: list[int]) -> DataFrame:
-    """(id, at, again, n, par, prefix) of lines: prefix is their rarest tokens, rarest first, as 64-bit ranks.
+    """(id, at, again, n, par, half, prefix) of lines: prefix is their rarest tokens, rarest first, as 64-bit ranks.
 
-    par is 64 parities. Lines that come again have neither. Lines with too few tokens are there too: a filter here would have each line cut twice.
+    par is 64 parities, half those of one half of the tokens of long lines. Lines that come again have none of them, and
+    n tells only whether they have words. Lines without are there too: a filter here would have each line cut twice.
     """
-    # one literal array once folded; a rank sorts by rarity, then by hash; ranks that cannot be null sort as plain numbers
-    rarities = F.split(F.lit(",".join(str(c << 44) for c in common)), ",").cast("array<bigint>")
-    rank = lambda h: rarities[h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")] + h.bitwiseAND(F.lit((1 << 44) - 1))
-    rows = lines.select("id", "at", "again", words_of(F.col("line")).alias("h"))
-    rows = rows.select("id", "at", "again", F.size("h").alias("n"), F.when(~F.col("again"), F.sort_array(F.transform("h", rank))).alias("ranked"))
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    fold = lambda bit: F.aggregate("ranked", zero, lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", bit(t), t.bitwiseAND(F.lit(63)).cast("int"))))
-    par, half = fold(lambda t: one), F.when(F.col("n") > LONG, fold(lambda t: F.shiftright(t, 6).bitwiseAND(one))).otherwise(zero)
+    # Literal arrays once folded. Levels are small numbers, which Java shares; a rank sorts by level, then by hash; ranks
+    # that cannot be null sort as plain numbers.
+    levels = F.split(F.lit(",".join(map(str, common))), ",").cast("array<bigint>")
+    rank = lambda h: F.shiftleft(levels[h.bitwiseAND(F.lit(BUCKETS - 1))], 44) + h.bitwiseAND(F.lit((1 << 44) - 1))
+    rows = lines.select("id", "at", "again", (F.length(F.trim("line")) > 0).alias("any"), F.when(~F.col("again"), words_of(F.col("line"))).alias("h"))
+    n = F.when(F.col("again"), F.col("any").cast("int")).otherwise(F.size("h"))
+    rows = rows.select("id", "at", "again", n.alias("n"), F.sort_array(F.transform("h", rank)).alias("ranked"))
+    bits = [F.lit(1 << k if k < 63 else -(1 << 63)).cast("bigint") for k in range(64)]
+    fold = lambda table, mask: F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.array(*table)[t.bitwiseAND(F.lit(mask))]))
+    nothing = F.lit(0).cast("bigint")
+    par, half = fold(bits, 63), F.when(F.col("n") > LONG, fold([nothing] * 64 + bits, 127)).otherwise(nothing)
     return rows.select("id", "at", "again", "n", par.alias("par"), half.alias("half"), F.slice("ranked", F.lit(1), F.col("n") - needed(F.col("n")) + 1).alias("prefix"))
 
 
@@ -193,9 +197,16 @@ def later_lines(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     else:
         pairs, gone = met(short, rows, by_length=True), equal
     pairs = materialise(pairs, "pairs")
-    scratch.append(pairs)
-    similar = verified(docs, pairs, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
-    return gone.union(similar)
+    # most lines have an earlier like one in the first that they meet; only what is left is compared with the others
+    first_met = pairs.groupBy("y_id", "y_at").agg(F.min(F.struct("x_id", "x_at")).alias("x"))
+    first_met = materialise(first_met.select("x.x_id", "x.x_at", "y_id", "y_at"), "first_met")
+    y_of = lambda df: df.select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
+    similar = materialise(y_of(verified(docs, first_met, scratch)), "similar")
+    done = small(similar.select(F.col("id").alias("d"), F.col("at").alias("a")))
+    others = pairs.join(done, F.col("y_id").eqNullSafe(F.col("d")) & (F.col("y_at") == F.col("a")), "left_anti")
+    others = materialise(others, "others")
+    scratch += [pairs, first_met, similar, others]
+    return gone.union(similar).union(y_of(verified(docs, others, scratch)))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
