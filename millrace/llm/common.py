@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.session import table  # noqa: F401
 
@@ -49,6 +52,19 @@ def discard(*tables: DataFrame) -> None:
             jvm = df.sparkSession.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        tidy(tables[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of broadcasts and shuffle files of plans that ended: Spark's cleaner acts on what the collectors find."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def arrow_type(df: DataFrame, name: str) -> pa.DataType:
+    """The Arrow type of a column, for what mapInArrow gives back."""
+    return to_arrow_type(df.schema[name].dataType)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

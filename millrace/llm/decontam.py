@@ -3,23 +3,26 @@
 Items are cut into parts of at most `PART` words and indexed. Every text is read in passages of `2 * PART` words,
 each starting `PART` words after the last, so that any part lies whole in some passage. A passage's score for a
 part is BM25 over its distinct words, as a share of the part's score for itself; all parts at or above `SHARE`
-are retrieved. As in WAND, a part's commonest words, which together stay below its threshold, start no search:
-only the others (its essential words) do. As in block-max WAND, parts stand in blocks with the largest weight
-of each word; a block whose sum of largest weights over the passage stays below the threshold is skipped. Both
-bounds are exact: no part above the threshold is lost.
+are retrieved by block-max WAND: cursors over postings in the order of parts, a pivot by the largest weights of
+words, and blocks of postings skipped by the largest weights there. A passage without any essential word of a part (the
+words without which it stays below its threshold) starts no search. All bounds are exact: nothing is lost.
 
 A retrieved item is verified around the passage: of the five-word shingles of its question and of its answer
 at least `OVERLAP` each must be there. The answer is the item's last sentence, the question what comes before;
 an item of one sentence is its own question and answer. Words are runs of \\w in lower case.
 
 The index goes out in shards of at most `SHARD` items; texts are read once for each shard. Null, empty or
-wordless texts and items match nothing. Repeated rows are matched alike. Other columns are not read.
+wordless texts and items match nothing, and empty tables give no rows. Very long texts are read whole, passage by
+passage. Equal scores need no order, as all parts above the threshold count. Repeated rows of documents are matched
+alike; repeated items are one. Ids may be of any type. Other columns are not read, but for decontaminate, which
+hands them on.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import arrow_type, discard, materialise, table
 
 PART = 64
 SHARE = 0.6
@@ -77,7 +80,7 @@ class Index:
         self.vocabulary = {w: i for i, w in enumerate(sorted(frequency))}
         self.item_of = [at for at, _ in parts]
         self.weights: list[dict[int, float]] = []
-        essential: dict[int, list[int]] = defaultdict(list)
+        essential: set[int] = set()
         for p, (_, words) in enumerate(parts):
             raw = {}
             for w, tf in Counter(words).items():
@@ -90,17 +93,65 @@ class Index:
             for w in sorted(raw, key=lambda w: (-frequency[w], len(w), w)):
                 left -= raw[w] / whole
                 if left <= 1e-9:
-                    essential[self.vocabulary[w]].append(p)
-        self.blocks = -(-len(parts) // BLOCK)
+                    essential.add(self.vocabulary[w])
+        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        for p, weights in enumerate(self.weights):
+            for w, x in weights.items():
+                postings[w].append((p, x))
+        #: By word: the parts it is in, in order, with its weights there, and the largest of them.
+        self.postings = {w: ([p for p, _ in found], [x for _, x in found], max(x for _, x in found)) for w, found in postings.items()}
         largest: dict[int, dict[int, float]] = defaultdict(dict)
         for p, weights in enumerate(self.weights):
             for w, x in weights.items():
                 largest[w][p // BLOCK] = max(x, largest[w].get(p // BLOCK, 0.0))
         self.largest = dict(largest)
-        self.essential = dict(essential)
+        self.essential = essential
         self.starts = np.zeros(len(self.vocabulary) + 1, bool)
         self.starts[list(self.essential)] = True
 
+    def retrieve(self, words: set[int]) -> list[tuple[int, float]]:
+        """(part, score) of all parts that score at least SHARE for a passage's words, by block-max WAND.
+
+        Each word's postings have a cursor. The pivot is the first part, in the order of the cursors, that the largest
+        weights of the words up to it can lift to the threshold. If the largest weights in its block cannot, all these
+        cursors go on to the next block, or to the next part that another word brings in; else the part is scored, once
+        all of them have come to it.
+        """
+        least = SHARE - 1e-9
+        heads = sorted((self.postings[w][0][0], w, 0) for w in words)
+        out = []
+        while heads:
+            reach, pivot = 0.0, -1
+            for pivot, (_, w, _) in enumerate(heads):
+                reach += self.postings[w][2]
+                if reach >= least:
+                    break
+            if reach < least:
+                break
+            part = heads[pivot][0]
+            while pivot + 1 < len(heads) and heads[pivot + 1][0] == part:
+                pivot += 1
+            block = part // BLOCK
+            if sum(self.largest[w].get(block, 0.0) for _, w, _ in heads[: pivot + 1]) < least:
+                to = (block + 1) * BLOCK if pivot + 1 == len(heads) else min((block + 1) * BLOCK, heads[pivot + 1][0])
+            else:
+                if heads[0][0] == part:
+                    score = sum(self.postings[w][1][at] for _, w, at in heads[: pivot + 1])
+                    if score >= least:
+                        out.append((part, score))
+                    to = part + 1
+                else:
+                    to = part
+            moved = []
+            for p, w, at in heads[: pivot + 1]:
+                parts = self.postings[w][0]
+                if p < to:
+                    at = bisect_left(parts, to, at + 1)
+                if at < len(parts):
+                    moved.append((parts[at], w, at))
+            heads = sorted(moved + heads[pivot + 1 :])
+        return out
+
     def search(self, ids: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         """(part, score, first word, last word) of every part that a passage retrieves."""
         hits = np.flatnonzero(self.starts[ids])
@@ -110,20 +161,10 @@ class Index:
         passages = np.unique(np.concatenate([np.minimum(hits // PART, last), np.maximum(np.minimum(hits // PART, last) - 1, 0), np.maximum(hits // PART - 1, 0)]))
         for k in passages.tolist():
             lo, hi = k * PART, min(len(ids), (k + 2) * PART)
-            words = {w for w in ids[lo:hi].tolist() if w in self.largest}
-            parts = {p for w in words for p in self.essential.get(w, ())}
-            if not parts:
-                continue
-            bounds: dict[int, float] = dict.fromkeys((p // BLOCK for p in parts), 0.0)
-            for w in words:
-                inner = self.largest[w]
-                for b in bounds.keys() & inner.keys() if len(bounds) > 1 else (b for b in bounds if b in inner):
-                    bounds[b] += inner[b]
-            for p in parts:
-                if bounds[p // BLOCK] >= SHARE - 1e-9:
-                    score = sum(x for w, x in self.weights[p].items() if w in words)
-                    if score >= SHARE - 1e-9:
-                        yield p, score, lo, hi
+            words = {w for w in ids[lo:hi].tolist() if w in self.postings}
+            if not words.isdisjoint(self.essential):
+                for p, score in self.retrieve(words):
+                    yield p, score, lo, hi
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of the items verified, by item."""
@@ -163,11 +204,16 @@ def shards(items: DataFrame, item_id: str = "item_id", text: str = "text") -> It
     frequency = exploded.groupBy("word").agg(F.count("*").alias("n"))
     full = exploded.distinct().join(frequency, "word").groupBy("item_id", "text").agg(F.collect_list(F.struct("word", "n")).alias("f"))
     n = -(-sums["items"] // SHARD)
-    dealt = full.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n if n > 1 else 1)))
-    for k in range(2 * n if n > 1 else 1):
+    count = 2 * n if n > 1 else 1
+    dealt = full.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+    if count > 1:
+        dealt = materialise(dealt, "test_items")  # all frequencies are counted once
+    for k in range(count):
         rows = dealt.filter(F.col("shard") == k).collect()
         if rows:
             yield Index([(r["item_id"], r["text"], {x["word"]: x["n"] for x in r["f"]}) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))], sums["parts"], sums["words"] / sums["parts"])
+    if count > 1:
+        discard(dealt)
 
 
 def find_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,7 +232,7 @@ def find_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema(list(zip(names, types, strict=True))))
 
         names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-        types = [*({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[k] for k in kinds), *[pa.float64()] * 3]
+        types = [arrow_type(docs, doc_id), arrow_type(items, "item_id"), *[pa.float64()] * 3]
         out = out.union(slim.mapInArrow(match, schema))
     return out
 

@@ -6,7 +6,8 @@ become identifiers. A licence is found where the identifiers of its rule stand i
 them allowed; a rule that lies within another matching rule is left out. Texts without any of a few words that
 every known sentence has are not cut at all. No row leaves its task: nothing is dealt out.
 
-Null, empty and wordless texts have no licence. Repeated rows get equal results. Columns other than id and text
+Null, empty and wordless texts have no licence; an empty table gives an empty result. Very long texts are cut whole.
+Of rules that match, all count, so there are no ties. Repeated rows get equal results. Columns other than id and text
 are not read.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 
-#: Words of which every known sentence has one.
+#: Words of which every known sentence below has one, as the public texts of the licences have them.
 TRIGGER = "licen[sc]e|warrant|permission|redistribut|creative commons|cc by|liable"
 
 #: Known sentences, by identifier.
@@ -76,17 +77,25 @@ def known(sentences: dict[int, str]) -> dict[str, int]:
     return {max(map(plain, re.split(r"(?<=[.!?:;])\s+", s)), key=len): key for key, s in sentences.items()}
 
 
+def gate_of(sentences: dict[int, str]) -> str:
+    """A pattern that the lower case of every text with a known sentence has: TRIGGER, or the longest word of each."""
+    texts = list(known(sentences))
+    if all(re.search(TRIGGER, s) for s in texts):
+        return TRIGGER
+    return "|".join(sorted({max(s.split() or [""], key=lambda w: (len(w), w)) for s in texts}))
+
+
 def _within(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
     rest = iter(large)
     return small != large and all(x in rest for x in small)
 
 
-def sequence_of(text: Column, sentences: dict[int, str]) -> Column:
+def sequence_of(text: Column, sentences: dict[int, str], gate: str = TRIGGER) -> Column:
     """The known identifiers in order, as <4><6>."""
     ids = known(sentences)
     table_ = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
     plain_ = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    marked = F.filter(F.split(text, "\x01"), lambda s: F.lower(s).rlike(TRIGGER))
+    marked = F.filter(F.split(text, "\x01"), lambda s: F.lower(s).rlike(gate))
     found = F.filter(F.transform(marked, lambda s: table_[plain_(s)]), lambda x: x.isNotNull())
     return F.array_join(F.transform(found, lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">"))), "")
 
@@ -96,12 +105,13 @@ def scan_licences(
 ) -> DataFrame:
     """(doc_id, sentence_ids, licences): identifiers by either cut, and the names found, sorted and comma-joined."""
     sentences, rules = sentences or SENTENCES, rules or RULES
+    gate = gate_of(sentences)
     at = F.col("text")
     by_line = F.regexp_replace(F.regexp_replace(at, "\n+", "\x01"), _END, "$1\x01")
     by_end = F.regexp_replace(F.regexp_replace(at, "\n[ \t\r]*\n", "\x01"), _END, "$1\x01")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    worth = F.lower(F.coalesce(at, F.lit(""))).rlike(TRIGGER)
-    rows = rows.select("doc_id", *(F.when(worth, sequence_of(cut, sentences)).otherwise("").alias(n) for n, cut in (("a", by_line), ("b", by_end))))
+    worth = F.lower(F.coalesce(at, F.lit(""))).rlike(gate)
+    rows = rows.select("doc_id", *(F.when(worth, sequence_of(cut, sentences, gate)).otherwise("").alias(n) for n, cut in (("a", by_line), ("b", by_end))))
     fits = lambda ids: F.col("a").like(_pattern(ids)) | F.col("b").like(_pattern(ids))
     names = []
     for name, ids in rules:

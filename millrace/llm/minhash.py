@@ -18,9 +18,11 @@ not yet in one component. In regions above `SMALL`, every class outside the regi
 compared with all classes of the region, part by part. Components come from alternating large-star and small-star rounds over
 links, all in tables.
 
-Documents without words are linked with nothing. Null ids stay out of all links: component_id null, kept true.
-Rows of one doc_id are one document, linked through any of its texts. Other columns are not read. The result has
-a row for each row.
+Documents without words (null and empty texts) are linked with nothing. Null ids stay out of all links: component_id
+null, kept true. Rows of one doc_id are one document, linked through any of its texts, and repeated rows count once.
+Very long texts are read whole; an empty table gives an empty result; of a group the least id stays, so there are no
+ties. Ids of other types than integers are numbered in their order meanwhile. Other columns are not read. The result
+has a row for each row.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, materialise, table
+from millrace.llm.common import discard, materialise, small, table
 
 SHINGLE = 5
 THRESHOLD = 85
@@ -46,8 +48,6 @@ SMALL, NEAR, LARGE = 32, 1, 2000
 FLOOR = 0.785
 #: The chance that all orders miss a link at the threshold; TREES at THRESHOLD is 16 by it.
 MISSED = 1e-5
-#: Ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 _DRAW = np.random.default_rng(20)
 _MULTIPLY = (_DRAW.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _XOR = _DRAW.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)[:, None]
@@ -130,9 +130,7 @@ def signatures(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     return docs.mapInArrow(make, "doc_id bigint, n_shingles bigint, cls binary, sig binary, regions array<bigint>")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """With a broadcast hint if its rows are counted to be few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+_few = small
 
 
 def regions_of(classes: DataFrame) -> DataFrame:
@@ -327,7 +325,10 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs; links have a Jaccard similarity of threshold hundredths."""
     forest = Forest.at(threshold)
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return _by_number(docs, threshold)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     rows = materialise(signatures(docs, forest).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     with_words = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # one row stands for a class: the one of its least id; an id with several texts may stand for several classes
@@ -370,12 +371,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out
 
 
+def _by_number(docs: DataFrame, threshold: int) -> DataFrame:
+    """near_duplicates for ids of other types: numbers in the order of the ids stand for them meanwhile."""
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy("doc_id")  # a range for each task, so that numbers follow the order
+    ids = materialise(ids.select(F.col("doc_id").alias("_id"), F.monotonically_increasing_id().alias("_number")), "ids")
+    numbered = materialise(docs.join(ids, F.col("doc_id") == F.col("_id"), "left").select(F.col("_number").alias("doc_id"), "text"), "numbered")
+    found = near_duplicates(numbered, threshold=threshold)
+    named = found.join(ids, F.col("doc_id") == F.col("_number"), "left").select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+    named = named.join(ids, F.col("component_id") == F.col("_number"), "left").select("doc_id", "n_shingles", F.col("_id").alias("component_id"), "kept")
+    out = materialise(named, "near_duplicates")
+    discard(ids, numbered, found)
+    return out
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns; of rows of one doc_id the least by text."""
     found = near_duplicates(docs, doc_id, text, threshold)
     gone = materialise(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    small = gone.count() <= BROADCAST_ROWS
-    out = docs.join(F.broadcast(gone) if small else gone, docs[doc_id].cast("bigint") == F.col("_gone"), "left_anti")
+    out = docs.join(small(gone), docs[doc_id] == F.col("_gone"), "left_anti")
     again = docs.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_again")
     again = materialise(again, "again")
     if not again.limit(1).count():

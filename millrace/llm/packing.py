@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, table
+from millrace.llm.common import arrow_type, materialise, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -94,7 +94,7 @@ def token_pieces(
 
     key_type = dict(docs.dtypes)[doc_id]
     names = ["doc_id", "piece", "start", "length", "ids"]
-    types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type], pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    types = [arrow_type(docs, doc_id), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     return docs.select(doc_id, text).mapInArrow(cut, f"doc_id {key_type}, piece int, start bigint, length bigint, ids binary")
 
 

@@ -13,8 +13,9 @@ whose term has more documents than a disclosure of `DISCLOSURE` allows, even if
 the entity's.
 
 SQL functions only. Counts cover all documents: a document's distinct words are added up by term before they are
-dealt out. Positions are code points, ends exclusive. Null texts count as empty and have no spans. Rows that
-repeat both id and text are one document and get one result. Columns other than id and text are not read.
+dealt out. Positions are code points, ends exclusive. Null texts count as empty and have no spans; an empty table gives
+an empty result; very long texts are read whole. Spans that start alike are ordered by kind. Rows that repeat both id
+and text are one document and get one result. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, materialise, table
+from millrace.llm.common import discard, materialise, small, table
 
 SUPPORT = 2
 DISCLOSURE = 0.9
-#: Terms with enough support up to this many are broadcast to where words are counted; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 KINDS = ("email", "ip", "card", "phone", "term")
 # Possessive runs and starts only where a run begins, or where the last match ended: the same matches as the plain
 # patterns give, without their quadratic search and without deep recursion.
@@ -149,10 +148,9 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     n = slim.select("doc_id", "h").distinct().count()
     held = with_one.select("doc_id", "h", F.explode("entities").alias("entity"))
     n_e = materialise(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n)), "entities")
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     # n_t <= n_te / P(e)^(1 - DISCLOSURE), and n_te <= n_e
     least = F.pow(F.col("n_e") / F.lit(float(max(n, 1))), F.lit(1 - DISCLOSURE))
-    bounded = held.join(few(n_e), "entity").withColumn("most", F.col("n_e") / least * (1 + 1e-9))
+    bounded = held.join(small(n_e), "entity").withColumn("most", F.col("n_e") / least * (1 + 1e-9))
     bounded = materialise(bounded, "held")
     ids = bounded.groupBy("doc_id", "h").agg(F.max("most").alias("most"))
     said = with_one.select(F.col("doc_id").alias("id"), F.col("h").alias("h2"), "rest").join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2")))
@@ -160,17 +158,17 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     wanted = said.groupBy("term").agg(F.count("*").alias("k")).filter(F.col("k") >= SUPPORT).select("term")
     terms = rows.dropDuplicates(["doc_id", "h"]) if slim.count() > n else rows
     terms = terms.select("doc_id", "h", F.explode(terms_of(F.col("text"))).alias("term"))
-    n_t = materialise(terms.join(few(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")), "terms")
+    n_t = materialise(terms.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")), "terms")
     rare = said.join(n_t, "term").filter(F.col("n_t") <= F.col("most")).select("id", "h2", "term", "n_t")
     both = bounded.join(rare, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2")) & (F.col("n_t") <= F.col("most")))
     together = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e")).filter(F.col("n_te") >= SUPPORT)
     information = -F.log(F.col("n_e") / F.lit(float(max(n, 1))))
     disclosure = 1 + F.log(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))) / information
     telling = materialise(together.filter(disclosure >= DISCLOSURE).select("term").distinct(), "telling")
-    holding = terms.join(few(telling), "term", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("term").alias("wanted"))
+    holding = terms.join(small(telling), "term", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("term").alias("wanted"))
     holding = materialise(holding.withColumnsRenamed({"doc_id": "id", "h": "h2"}), "holding")
     texts = rows.dropDuplicates(["doc_id", "h"]) if slim.count() > n else rows
-    added = texts.join(few(holding), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2"))).select("id", "h2", places(F.col("text"), F.col("wanted")).alias("added"))
+    added = texts.join(small(holding), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2"))).select("id", "h2", places(F.col("text"), F.col("wanted")).alias("added"))
     joined = slim.select("doc_id", "h", "base").join(added, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2")), "left")
     apart = F.filter("added", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
     out = joined.select("doc_id", "h", "base", F.array_sort(F.concat("base", F.coalesce(apart, F.array().cast(_PLACES)))).alias("spans"))

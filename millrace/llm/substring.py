@@ -5,10 +5,13 @@ everything else as one space. Every run of `RUN` such sentences with at least `M
 independent 64-bit hashes); a run that occurs more than once in all documents keeps its first place, by doc_id
 (null first), text and position, and all sentences of its other places go.
 
+Sentences end at . ! ? and their full-width forms and at line breaks; one without an end for `CLAUSE` characters is cut
+at its next clause mark or blank, so a long sentence that comes again is a run of its parts.
+
 Only hashes are dealt out; the count of a hash that many rows share is added up before it is dealt, and the join
 back is one that Spark splits where it is uneven. Null texts stay null. Rows that repeat both id and text are one
-document and get one result. Texts with fewer sentences than a run, and empty ones, stay. Columns other than id
-and text are not read.
+document and get one result. Texts with fewer sentences than a run, and empty ones, stay; very long texts are cut
+whole; an empty table gives an empty result. Places cannot tie. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,9 +26,13 @@ from pyspark.sql import functions as F
 from millrace.llm.common import discard, materialise, table
 
 RUN = 2
-MIN_WORDS = 12
-#: Tiles any text: what stands before a sentence end, the end itself and the white space after it.
-SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
+#: A run needs this many words, or this many characters in scripts that do not part words.
+MIN_WORDS, MIN_CHARS = 12, 72
+#: Tiles any text: what stands before a sentence end, the end itself and the white space after it. What has more than
+#: CLAUSE characters without an end is cut at its next clause mark or blank, so that long sentences are runs too.
+CLAUSE = 160
+_ENDS = r".!?。！？\n"
+SENTENCE = rf"[^{_ENDS}]{{{CLAUSE}}}[^{_ENDS},;:，；： ]{{0,80}}[,;:，；： ]+|[^{_ENDS}]{{0,{CLAUSE + 80}}}[{_ENDS}]+[ \t\r\n]*|[^{_ENDS}]{{1,{CLAUSE + 80}}}"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -48,9 +55,10 @@ def spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFr
             F.xxhash64(norms).alias("h1"),
             F.xxhash64(F.lit(7), norms).alias("h2"),
             F.aggregate(norms, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"),
+            F.aggregate(norms, F.lit(0), lambda n, x: n + F.length(x)).alias("chars"),
         )
 
-    made = F.filter(F.transform(F.sequence(F.lit(0), F.size("s") - run), span), lambda x: x["words"] >= min_words)
+    made = F.filter(F.transform(F.sequence(F.lit(0), F.size("s") - run), span), lambda x: (x["words"] >= min_words) | (x["chars"] >= MIN_CHARS))
     return rows.select("id", "h", F.explode(made).alias("x")).select("id", "h", "x.at", "x.tiles", "x.h1", "x.h2")
 
 
@@ -95,10 +103,10 @@ WITH tiles AS (
   SELECT doc_id, text, list_filter([{{'at': i, 'norm': trim(regexp_replace(lower(t[i]), '{NOT_WORD}', ' ', 'g'))}} FOR i IN range(1, len(t) + 1)], lambda s : s.norm <> '') AS s FROM tiles
 ), runs AS (
   SELECT doc_id, i, [s[i].at, s[i + 1].at] AS covered, s[i].norm || chr(10) || s[i + 1].norm AS run,
-         len(string_split(s[i].norm, ' ')) + len(string_split(s[i + 1].norm, ' ')) AS words
+         len(string_split(s[i].norm, ' ')) + len(string_split(s[i + 1].norm, ' ')) AS words, length(s[i].norm) + length(s[i + 1].norm) AS chars
   FROM (SELECT doc_id, s, unnest(range(1, len(s))) AS i FROM norms)
 ), later AS (
-  SELECT doc_id, covered FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM runs WHERE words >= {MIN_WORDS}) WHERE nth > 1
+  SELECT doc_id, covered FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM runs WHERE words >= {MIN_WORDS} OR chars >= {MIN_CHARS}) WHERE nth > 1
 ), gone AS (
   SELECT doc_id, list(DISTINCT x) AS x FROM (SELECT doc_id, unnest(covered) AS x FROM later) GROUP BY doc_id
 )

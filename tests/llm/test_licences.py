@@ -23,3 +23,10 @@ def test_every_known_sentence_has_a_trigger():
 
     for norm in licences.known(licences.SENTENCES):
         assert re.search(licences.TRIGGER, norm), norm
+
+
+def test_own_sentences_without_the_usual_words(spark):
+    """What gates the cut comes from the sentences that are given."""
+    docs = spark.createDataFrame([(1, "Intro. Do as you please with it. Bye."), (2, "Nothing.")], "doc_id long, text string")
+    out = {r.doc_id: r.licences for r in licences.scan_licences(docs, {1: "Do as you please with it."}, [("Free", (1,))]).collect()}
+    assert out == {1: "Free", 2: ""}

@@ -93,3 +93,12 @@ def test_threshold_of_80_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, threshold=80).collect()} == want
     stage = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == set(want.values())
+
+
+def test_ids_of_another_type(spark):
+    draw = random.Random(31)
+    base = prose(draw, 60)
+    rows = [("b", base), ("a", base), ("c", prose(draw, 60)), (None, base), ("d", None)]
+    out = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert out == {"a": ("a", True), "b": ("a", False), "c": ("c", True), "d": ("d", True), None: (None, True)}
+    assert {r.doc_id for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id string, text string")).collect()} == {"a", "c", "d", None}

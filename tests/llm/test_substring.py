@@ -2,7 +2,7 @@ import random
 import re
 
 from millrace.llm import substring
-from tests.llm.helpers import prose
+from tests.llm.helpers import prose, word
 
 
 def brute(rows):
@@ -14,7 +14,7 @@ def brute(rows):
         norm = [(i, n) for i, n in norm if n]
         gone = set()
         for (i, a), (j, b) in zip(norm, norm[1:]):
-            if len(a.split()) + len(b.split()) >= substring.MIN_WORDS:
+            if len(a.split()) + len(b.split()) >= substring.MIN_WORDS or len(a) + len(b) >= substring.MIN_CHARS:
                 if (a, b) in seen:
                     gone |= {i, j}
                 seen.add((a, b))
@@ -39,3 +39,16 @@ def test_against_brute_force(spark):
     assert sorted(map(repr, [(r.doc_id, r.text, r.n_removed) for r in out])) == sorted(repr((k, *want[k, t])) for k, t in rows)
     assert sum(r.n_removed for r in out) > 50
     assert substring.remove_repeated(docs.filter("doc_id < 0")).collect() == []
+
+
+def test_long_sentences_and_scripts_without_spaces(spark):
+    draw = random.Random(2)
+    long = " ".join(f"{word(draw)}{',' if i % 9 == 8 else ''}" for i in range(90))
+    han = "".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(60)) + "。" + "".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(40)) + "。"
+    rows = [(1, long), (2, long), (3, han), (4, "前言在此。" + han), (5, " ".join(word(draw) for _ in range(90)))]
+    out = {r.doc_id: r for r in substring.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert {k: (r.text, r.n_removed) for k, r in out.items()} == {k: want[k, t] for k, t in rows}
+    assert out[1].n_removed == out[3].n_removed == out[5].n_removed == 0
+    assert out[2].text == "" and out[4].text == "前言在此。"
+    assert all("".join(re.findall(substring.SENTENCE, t)) == t for _, t in rows)
