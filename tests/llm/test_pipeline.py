@@ -27,7 +27,7 @@ def test_stages_and_whole(spark, tmp_path):
     for i in range(400, 440):
         text = test_minhash.edited(draw, rows[i - 350][1], 1)
         rows.append((i, text, "en", "src0", len(text)))
-    rows += [(500, None, None, None, None), (501, "", "en", "src0", 0)]
+    rows += [(500, None, None, None, None), (501, "", "en", "src0", 0), (502, rows[3][1], "en", "src0", 9)]
     folder = str(tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -46,7 +46,9 @@ def test_stages_and_whole(spark, tmp_path):
     assert sum(truth[i] for i in left if i in truth) <= 0.03 * sum(truth.values())
     assert sum(1 - truth[i] for i in left if i in truth) >= 0.99 * (len(truth) - sum(truth.values()))
     cut = test_lines.brute([(k, t) for k, t in left.items()])
-    assert seen["line_dedup"] == {k: (cut[k, t][0] if t is not None else None) for k, t in left.items()}
+    shorter = {k: (cut[k, t] if t is not None else (None, 0)) for k, t in left.items()}
+    emptied = {k for k, (t, n) in shorter.items() if n and not t.strip()}
+    assert emptied and seen["line_dedup"] == {k: t for k, (t, _) in shorter.items() if k not in emptied}
     near = test_minhash.brute(list(seen["line_dedup"].items()))
     assert seen["minhash_near_dedup"].keys() == set(near.values())
     index = next(decontam.shards(spark.read.parquet(f"{folder}/benchmark.parquet")))
