@@ -4,8 +4,9 @@ Items are cut into parts of at most `PART` words and indexed. Every text is read
 each starting `PART` words after the last, so that any part lies whole in some passage. A passage's score for a
 part is BM25 over its distinct words, as a share of the part's score for itself; all parts at or above `SHARE`
 are retrieved by block-max WAND: cursors over postings in the order of parts, a pivot by the largest weights of
-words, and blocks of postings skipped by the largest weights there. A passage without any essential word of a part (the
-words without which it stays below its threshold) starts no search. All bounds are exact: nothing is lost.
+words, and blocks of postings skipped by the largest weights there. A passage starts a search only if it has an
+essential word of some part (the words without which that stays below its threshold) in a block whose largest weights
+can reach the threshold. All bounds are exact: nothing is lost.
 
 A retrieved item is verified around the passage: of the five-word shingles of its question and of its answer
 at least `OVERLAP` each must be there. The answer is the item's last sentence, the question what comes before;
@@ -80,7 +81,7 @@ class Index:
         self.vocabulary = {w: i for i, w in enumerate(sorted(frequency))}
         self.item_of = [at for at, _ in parts]
         self.weights: list[dict[int, float]] = []
-        essential: set[int] = set()
+        essential: dict[int, set[int]] = defaultdict(set)
         for p, (_, words) in enumerate(parts):
             raw = {}
             for w, tf in Counter(words).items():
@@ -93,7 +94,7 @@ class Index:
             for w in sorted(raw, key=lambda w: (-frequency[w], len(w), w)):
                 left -= raw[w] / whole
                 if left <= 1e-9:
-                    essential.add(self.vocabulary[w])
+                    essential[self.vocabulary[w]].add(p // BLOCK)
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for p, weights in enumerate(self.weights):
             for w, x in weights.items():
@@ -105,7 +106,8 @@ class Index:
             for w, x in weights.items():
                 largest[w][p // BLOCK] = max(x, largest[w].get(p // BLOCK, 0.0))
         self.largest = dict(largest)
-        self.essential = essential
+        #: By essential word: the blocks with parts that it is essential for.
+        self.essential = dict(essential)
         self.starts = np.zeros(len(self.vocabulary) + 1, bool)
         self.starts[list(self.essential)] = True
 
@@ -162,7 +164,14 @@ class Index:
         for k in passages.tolist():
             lo, hi = k * PART, min(len(ids), (k + 2) * PART)
             words = {w for w in ids[lo:hi].tolist() if w in self.postings}
-            if not words.isdisjoint(self.essential):
+            bounds = dict.fromkeys((b for w in words if w in self.essential for b in self.essential[w]), 0.0)
+            if not bounds:
+                continue
+            for w in words:
+                inner = self.largest[w]
+                for b in bounds.keys() & inner.keys() if len(bounds) > 1 else (b for b in bounds if b in inner):
+                    bounds[b] += inner[b]
+            if max(bounds.values()) >= SHARE - 1e-9:
                 for p, score in self.retrieve(words):
                     yield p, score, lo, hi
 

@@ -158,7 +158,7 @@ class Table:
 class Scorer:
     """Ratios of words by the two tables; words are kept, up to a bound, as most come again."""
 
-    KEPT = 500_000
+    KEPT = 150_000
 
     def __init__(self, seen: Table, unseen: Table) -> None:
         self.seen, self.unseen = seen, unseen
