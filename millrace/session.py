@@ -17,6 +17,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)
+    # rows may hold long texts: small batches bound what Python workers and their buffers hold at a time
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
     with zipfile.ZipFile(target, "w") as out:
