@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.numbers import finite
+from millrace.functions.text import FILLED_EMPTY
+
 # Atomic masses in g/mol.
 MASSES = {
     "H": 1.0079, "Li": 6.941, "B": 10.811, "C": 12.011, "N": 14.0067, "O": 15.999, "F": 18.998, "Na": 22.989, "Mg": 24.305, "Al": 26.982,
@@ -23,6 +26,7 @@ MASSES = {
 }
 # What common short forms stand for.
 SHORT_FORMS = {"MeCN": "C2H3N", "DMF": "C3H7NO", "DMSO": "C2H6OS", "OAc": "C2H3O2", "AcO": "C2H3O2", "OMc": "C4H5O2", "acac": "C5H7O2", "Cy": "C6H11", "Ph": "C6H5"}
+# Short forms that stand inside a formula.
 INNER_FORMS = {"OiPr": "OC3H7", "iPrO": "OC3H7", "OtBu": "OC4H9", "tBuO": "OC4H9"}
 
 _SHORT = re.compile("|".join([*INNER_FORMS, *(rf"(?<![A-Za-z]){k}(?![A-Za-z])" for k in SHORT_FORMS)]))
@@ -105,10 +109,34 @@ def with_molar_mass(df: DataFrame, formula: str, name: str = "molar_mass") -> Da
     return map_distinct(df, formula, name, molar_mass, "double")
 
 
-def first_symbol(text: Column) -> Column:
-    """The first known element symbol that stands as a token of a formula; null without one."""
-    tokens = F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]?)"), F.lit(1))
-    return F.get(F.filter(tokens, lambda t: t.isin(*MASSES)), F.lit(0))
+# Names of elements in precursors, and of their ions.
+ELEMENTS = {
+    "lithium": "Li", "beryllium": "Be", "boron": "B", "sodium": "Na", "magnesium": "Mg", "aluminum": "Al", "aluminium": "Al", "silicon": "Si", "potassium": "K",
+    "calcium": "Ca", "scandium": "Sc", "titanium": "Ti", "vanadium": "V", "chromium": "Cr", "manganese": "Mn", "iron": "Fe", "cobalt": "Co", "nickel": "Ni",
+    "copper": "Cu", "zinc": "Zn", "gallium": "Ga", "germanium": "Ge", "rubidium": "Rb", "strontium": "Sr", "yttrium": "Y", "zirconium": "Zr", "niobium": "Nb",
+    "molybdenum": "Mo", "technetium": "Tc", "ruthenium": "Ru", "rhodium": "Rh", "palladium": "Pd", "silver": "Ag", "cadmium": "Cd", "indium": "In", "tin": "Sn",
+    "antimony": "Sb", "cesium": "Cs", "barium": "Ba", "lanthanum": "La", "cerium": "Ce", "praseodymium": "Pr", "neodymium": "Nd", "promethium": "Pm",
+    "samarium": "Sm", "europium": "Eu", "gadolinium": "Gd", "terbium": "Tb", "dysprosium": "Dy", "holmium": "Ho", "erbium": "Er", "thulium": "Tm", "ytterbium": "Yb",
+    "lutetium": "Lu", "hafnium": "Hf", "tantalum": "Ta", "tungsten": "W", "rhenium": "Re", "osmium": "Os", "iridium": "Ir", "platinum": "Pt", "gold": "Au",
+    "mercury": "Hg", "thallium": "Tl", "lead": "Pb", "bismuth": "Bi", "thorium": "Th", "uranium": "U",
+}
+IONS = {
+    "ferrous": ("Fe", 2), "ferric": ("Fe", 3), "cuprous": ("Cu", 1), "cupric": ("Cu", 2), "stannous": ("Sn", 2), "stannic": ("Sn", 4), "plumbous": ("Pb", 2),
+    "plumbic": ("Pb", 4), "chromous": ("Cr", 2), "chromic": ("Cr", 3), "manganous": ("Mn", 2), "manganic": ("Mn", 3), "cerous": ("Ce", 3), "ceric": ("Ce", 4),
+    "cobaltous": ("Co", 2),
+}
+
+
+def first_symbol(name: Column, short: Column | None = None, unknown: str | None = None) -> Column:
+    """The metal of a precursor: a symbol that stands alone in its short form, else the first element named in words,
+    else the symbol that the formula begins with, else one that stands alone in the name, else `unknown`."""
+    names = {**ELEMENTS, **{k: e for k, (e, _) in IONS.items()}}
+    word = F.regexp_extract(F.lower(name), rf"\b({'|'.join(names)})\b", 1)
+    named = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.nullif(word, F.lit(""))]
+    some = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    alone = r"\b([A-Z][a-z]?)\b"
+    tries = ([some(short, alone)] if short is not None else []) + [named, some(name, r"^[^A-Za-z]*([A-Z][a-z]?)"), some(name, alone)]
+    return F.coalesce(*tries, F.lit(unknown).cast("string"))
 
 
 def stirring_reported(text: Column) -> Column:
@@ -118,19 +146,27 @@ def stirring_reported(text: Column) -> Column:
     return F.when(denied, "no").when(low.rlike(r"\b(pre-?)?stir"), "yes").otherwise("not_reported")
 
 
-def synthesis_features(df: DataFrame, slots: int = 3) -> DataFrame:
-    """Adds M_L_ratio and metel_concnertation (sic: names that readers of the table expect).
+def synthesis_features(df: DataFrame, slots: int = 3, concentration: str = "metel_concnertation") -> DataFrame:
+    """Adds M_L_ratio and the concentration (by default in the column name that readers of such tables expect).
 
-    The ratio divides the first metal by the first linker if every amount given is in mmol, else it is 1 where the
-    text says 1:1. The concentration is in mM, rounded half to even.
+    The ratio divides the first metal by the first linker, to two decimals, if all their amounts that have a unit are in
+    mmol; else it is 1 where the text says 1:1. The concentration is in mM, rounded half to even. Amounts may be
+    fractions such as 1/2.
     """
     unit = lambda stem, i: F.lower(F.trim(F.col(f"{stem}_{i}_amount_unit")))
-    every = [unit(s, i) for s in ("metal", "linker") for i in range(1, slots + 1) if f"{s}_{i}_amount_unit" in df.columns]
+    others = [unit(s, i) for s in ("metal", "linker") for i in range(2, slots + 1) if f"{s}_{i}_amount_unit" in df.columns]
     both = F.coalesce((unit("metal", 1) == "mmol") & (unit("linker", 1) == "mmol"), F.lit(False))
-    for u in every:
-        both = both & F.coalesce((u == "mmol") | (u == ""), F.lit(True))
-    value = lambda c: F.col(c).try_cast("double")
+    for u in others:
+        both = both & F.coalesce(u.isin("mmol", *FILLED_EMPTY), F.lit(True))
+    value = lambda c: finite(F.coalesce(F.trim(F.col(c)).try_cast("double"), fraction(F.col(c))))
     metal, linker, ml = value("metal_1_amount_value"), value("linker_1_amount_value"), value("solvent_main_ml")
-    ratio = F.when(both, F.try_divide(metal, linker)).when(F.col("metal_1_amount_text").rlike(r"\b1\s*:\s*1\b"), 1.0)
+    said = F.coalesce(F.col("metal_1_amount_text").rlike(r"(?<!\d)1\s*[:：]\s*1(?!\d)"), F.lit(False))
+    ratio = F.when(both, F.bround(F.try_divide(metal, linker), 2)).when(said, 1.0)
     mm = F.when((unit("metal", 1) == "mmol") & (ml > 0), F.bround(metal / ml * 1000, 0))
-    return df.withColumns({"metel_concnertation": mm, "M_L_ratio": ratio})
+    return df.withColumns({concentration: mm, "M_L_ratio": ratio})
+
+
+def fraction(text: Column) -> Column:
+    """a/b as a number; null for anything else."""
+    parts = F.split(text, "/")
+    return F.when(F.size(parts) == 2, F.try_divide(F.trim(F.get(parts, F.lit(0))).try_cast("double"), F.trim(F.get(parts, F.lit(1))).try_cast("double")))

@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sides of at most this many rows are broadcast; larger ones are joined as Spark sees fit.
-BROADCAST_ROWS = 200_000
+#: Sides of at most this many bytes are broadcast; larger ones are joined as Spark sees fit.
+BROADCAST_BYTES = 24 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The side with a broadcast hint if it is counted to be small enough."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The side with a broadcast hint if what its rows hold, texts and nested values included, is small enough."""
+    held = [F.coalesce(F.octet_length(F.to_json(F.struct(f.name)) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name)), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("array", "map", "struct", "string", "binary")]
+    size = df.agg(F.sum(sum(held, F.lit(16 * (len(df.columns) + 2))).cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def lookup(df: DataFrame, side: DataFrame, on: dict[str, str], take: dict[str, str], default: dict[str, object] | None = None) -> DataFrame:
@@ -31,8 +33,12 @@ def lookup(df: DataFrame, side: DataFrame, on: dict[str, str], take: dict[str, s
 
 
 def correct_values(df: DataFrame, rules: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Replaces exact values by rules (key, value, replacement) in any of the columns; rules are a map for each key."""
-    by = rules.groupBy(F.col(key).alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("value", "replacement"))).alias("_m"))
+    """Replaces exact values by rules (key, value, replacement) in any of the columns; rules are a map for each key.
+
+    Rules that repeat count once; of different replacements of one value the least is taken.
+    """
+    once = rules.groupBy(key, "value").agg(F.min("replacement").alias("replacement")).filter("value IS NOT NULL")
+    by = once.groupBy(F.col(key).alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("value", "replacement"))).alias("_m"))
     out = df.join(small(by), F.col(key) == F.col("_k"), "left")
     new = {c: F.coalesce(F.col("_m")[F.col(c)], F.col(c)) for c in columns}
     return out.withColumns(new).select(*df.columns)

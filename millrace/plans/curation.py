@@ -78,9 +78,9 @@ def identical_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.collapse_identical(nation.unionByName(nation), ["n_nationkey"])
 
 
-@register("cluster_disjoint_check", "WITH l AS (SELECT DISTINCT l_partkey % 7 AS c, l_partkey % 7 = 3 AS h FROM lineitem) SELECT c FROM l WHERE h INTERSECT SELECT c FROM l WHERE NOT h")
+@register("cluster_disjoint_check", "WITH l AS (SELECT DISTINCT l_partkey AS c, l_linenumber = 1 AS h FROM lineitem) SELECT c FROM l WHERE h INTERSECT SELECT c FROM l WHERE NOT h")
 def cluster_disjoint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 7).alias("c")).withColumn("h", F.col("c") == 3)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("c"), (F.col("l_linenumber") == 1).alias("h"))
     return split.shared_keys(rows.filter("h"), rows.filter("NOT h"), ["c"])
 
 
@@ -89,15 +89,20 @@ def contiguous_year_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.running_counts(table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y")), "y")
 
 
-@register("year_bins_4")
+@register("year_bins_4", """WITH RECURSIVE c AS (SELECT y, n, sum(n) OVER (ORDER BY y) AS running, row_number() OVER (ORDER BY y) - 1 AS pos, sum(n) OVER () AS total, count(*) OVER () AS years FROM (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1)),
+ cuts(i, pos) AS (SELECT 0, -1::BIGINT UNION ALL SELECT t.i, t.best.p FROM (SELECT cuts.i + 1 AS i, min({'d': abs(c.running - c.total * (cuts.i + 1) / 4.0), 'p': c.pos}) AS best FROM cuts JOIN c ON c.pos > cuts.pos AND c.pos < c.years - 3 + cuts.i WHERE cuts.i < 3 GROUP BY cuts.i) t)
+ SELECT CAST(b.i + 1 AS INTEGER) AS year_bin, CAST(min(c.y) AS INTEGER) AS first_year, CAST(max(c.y) AS INTEGER) AS last_year, CAST(sum(c.n) AS BIGINT) AS n FROM cuts b LEFT JOIN cuts e ON e.i = b.i + 1 JOIN c ON c.pos > b.pos AND c.pos <= coalesce(e.pos, c.years - 1) GROUP BY 1""")
 def year_bins_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split.year_bins(table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y")), "y", 4)
     return rows.groupBy("year_bin").agg(F.min("y").alias("first_year"), F.max("y").alias("last_year"), F.count("*").alias("n"))
 
 
-@register("exact_ratio_keep_counts")
+@register("exact_ratio_keep_counts", """WITH n AS (SELECT count(*) FILTER (h = 0 AND quality = 1) AS tp, count(*) FILTER (h = 0 AND quality = 0) AS tn, count(*) FILTER (h = 1 AND quality = 1) AS hp, count(*) FILTER (h = 1 AND quality = 0) AS hn FROM (SELECT quality, CAST(doc_id % 10 = 0 AS INTEGER) AS h FROM labels)),
+ u AS (SELECT p, q, least(tp // p, tn // q) AS a, least(hp // p, hn // q) AS b, (tp + hp) / greatest(1, tn + hn) AS raw FROM range(1, 201) x(p), range(1, 201) y(q), n WHERE gcd(p, q) = 1),
+ best AS (SELECT * FROM u WHERE a > 0 AND b > 0 ORDER BY (p + q) * (a + b) DESC, abs(ln(p / q / raw)), p + q, p LIMIT 1)
+ SELECT 'train' AS part, 1 AS quality, p * a AS keep FROM best UNION ALL SELECT 'train', 0, q * a FROM best UNION ALL SELECT 'holdout', 1, p * b FROM best UNION ALL SELECT 'holdout', 0, q * b FROM best""")
 def exact_ratio_keep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").withColumn("part", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0, "holdout").otherwise("train"))
+    labels = table(spark, sf_dir, "labels").withColumn("part", F.when(F.col("doc_id") % 10 == 0, "holdout").otherwise("train"))
     n = {(r["part"], r["quality"]): r["n"] for r in labels.groupBy("part", "quality").agg(F.count("*").alias("n")).collect()}
     pair = lambda part: (n.get((part, 1), 0), n.get((part, 0), 0))
     train, hold = pair("train"), pair("holdout")
@@ -106,9 +111,12 @@ def exact_ratio_keep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s, y, c) for (s, y), c in counts.items()], "part string, quality int, keep long")
 
 
-@register("sample_to_label_counts", "SELECT quality, least(count(*), 20) AS n FROM labels GROUP BY quality")
+@register("sample_to_label_counts", "SELECT quality, least(20, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality))) AS n FROM labels GROUP BY quality")
 def sample_to_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = split.sample_to_counts(table(spark, sf_dir, "labels"), "quality", {0: 20, 1: 20}, [split.seeded(42, "doc_id"), "doc_id"], F.col("toxic") == 1)
+    labels = table(spark, sf_dir, "labels")
+    least = labels.groupBy("quality").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
+    counts = {0: min(20, least), 1: min(20, least)}
+    kept = split.sample_to_counts(labels, "quality", counts, [split.seeded(42, "doc_id"), "doc_id"], F.col("doc_id") % 97 == 0)
     return kept.groupBy("quality").agg(F.count("*").alias("n"))
 
 
@@ -160,16 +168,17 @@ def full_outer_revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.revision_diff(customer.filter("c_custkey % 5 <> 0"), new, ["c_custkey"], ["c_mktsegment", "c_acctbal"])
 
 
-@register("symmetric_coverage", "SELECT c_custkey AS k, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@register("symmetric_coverage", "WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0), o AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 100000) SELECT c_custkey AS k, 'left' AS side FROM c WHERE c_custkey NOT IN (SELECT o_custkey FROM o) UNION ALL SELECT o_custkey, 'right' FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM c)")
 def symmetric_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    a = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"))
+    b = table(spark, sf_dir, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("k"))
     return joins.symmetric_difference(a, b, ["k"])
 
 
-@register("coverage_gap_cross", "SELECT n.n_nationkey, s.c_mktsegment FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_mktsegment = s.c_mktsegment AND c.c_acctbal > 5000)")
+@register("coverage_gap_cross", "SELECT n.n_nationkey, s.c_mktsegment FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_mktsegment = s.c_mktsegment AND c.c_acctbal > 9000)")
 def coverage_gap_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
-    rows = customer.filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
+    rows = customer.filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
     return joins.coverage_gap(rows, [table(spark, sf_dir, "nation").select("n_nationkey"), customer.select("c_mktsegment").distinct()])
 
 
@@ -183,7 +192,7 @@ def document_match_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.match_by_priority(wanted, files, "stem", "ext", ["pdf", "docx", "doc"])
 
 
-@register("hamming_nearest", """WITH a AS (SELECT * FROM part WHERE p_partkey % 2 = 0 AND p_partkey < 400), b AS (SELECT * FROM part WHERE p_partkey % 2 = 1 AND p_partkey < 400),
+@register("hamming_nearest", """WITH a AS (SELECT * FROM part WHERE p_partkey % 2 = 0), b AS (SELECT * FROM part WHERE p_partkey % 2 = 1),
  d AS (SELECT a.p_partkey, b.p_partkey AS nearest, CAST(CAST(a.p_brand <> b.p_brand AS INTEGER) + CAST(a.p_type <> b.p_type AS INTEGER) + CAST(a.p_size <> b.p_size AS INTEGER) AS INTEGER) AS distance FROM a CROSS JOIN b)
  SELECT p_partkey, nearest, distance FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY distance, nearest) AS nth FROM d) WHERE nth = 1""")
 def hamming_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,18 +201,28 @@ def hamming_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.hamming_nearest(part.filter("p_partkey % 2 = 0"), right, "p_partkey", "nearest", ["p_brand", "p_type", "p_size"])
 
 
-_RULES = [(1, "ALL", None, "p_size", "range", "10", "30"), (1, "ALL", None, "p_retailprice", "lt", "1500", None), (2, "AT_LEAST", 2, "p_size", "gt", "25", None), (2, "AT_LEAST", 2, "p_brand", "discrete_set", "Brand#1,Brand#2,Brand#3", None), (2, "AT_LEAST", 2, "p_type", "exclusion", "STEEL", None)]
+_RULES = [(1, "ALL", None, "p_size", "range", "10", "30"), (1, "ALL", None, "p_retailprice", "lt", "1500", None), (2, "AT_LEAST", 2, "p_size", "gt", "25", None), (2, "AT_LEAST", 2, "p_brand", "discrete_set", "Brand#1 ||| Brand#2 ||| Brand#3", None), (2, "AT_LEAST", 2, "p_type", "exclusion", "STEEL", None), (3, "SINGLE", None, "p_size", "discrete_set", "5.0 ||| 7 ||| 9", None), (3, "SINGLE", None, "p_type", "unparsed_freetext", "as usual", None), (4, "ALL", None, "p_colour", "exclusion", "red", None)]
 
 
 @register("rule_predicate_join", """SELECT p_partkey, 1 AS w, (p_size BETWEEN 10 AND 30) AND p_retailprice < 1500 AS fits FROM part
- UNION ALL SELECT p_partkey, 2, CAST(p_size > 25 AS INTEGER) + CAST(lower(p_brand) IN ('brand#1', 'brand#2', 'brand#3') AS INTEGER) + CAST(lower(p_type) <> 'steel' AS INTEGER) >= 2 FROM part""")
+ UNION ALL SELECT p_partkey, 2, CAST(p_size > 25 AS INTEGER) + CAST(lower(p_brand) IN ('brand#1', 'brand#2', 'brand#3') AS INTEGER) + CAST(lower(p_type) <> 'steel' AS INTEGER) >= 2 FROM part
+ UNION ALL SELECT p_partkey, 3, p_size IN (5, 7, 9) FROM part UNION ALL SELECT p_partkey, 4, true FROM part""")
 def rule_predicate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = spark.createDataFrame(_RULES, "w int, logic string, needed int, field string, predicate string, value_1 string, value_2 string")
-    fields = ["p_size", "p_retailprice", "p_brand", "p_type"]
-    parts = table(spark, sf_dir, "part").select("p_partkey", *(F.col(f).cast("string").alias(f) for f in fields))
-    long = parts.unpivot(["p_partkey"], fields, "field", "value")
-    checked = long.join(F.broadcast(windows), "field").withColumn("ok", rules.satisfied(F.col("predicate"), F.col("value"), F.col("value_1"), F.col("value_2")))
-    return rules.combine(checked, ["p_partkey", "w"])
+    """Rules known beforehand: a set of numbers goes by value, free text holds nowhere, a missing field passes an exclusion."""
+    part = table(spark, sf_dir, "part")
+    fits = rules.window_columns(_RULES, {f: F.col(f).cast("string") for f in ("p_size", "p_retailprice", "p_brand", "p_type")})
+    each = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), c.alias("fits")) for w, c in fits.items())))
+    return part.select("p_partkey", each.alias("x")).select("p_partkey", "x.w", "x.fits")
+
+
+@register("rule_table_join", """SELECT event_type AS kind, event_id, 1 AS w, value > 20 OR user_id IN (1, 2, 3) AS fits FROM events WHERE event_type = 'click'
+ UNION ALL SELECT event_type, event_id, 2, value BETWEEN 10 AND 50 AND event_type <> 'error' FROM events WHERE event_type = 'purchase'""")
+def rule_table_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules in a table: candidates meet the windows of their own document."""
+    rows = [("click", 1, "SINGLE", None, "value", "gt", "20", None), ("click", 1, "SINGLE", None, "user_id", "discrete_set", "1 ||| 2 ||| 3", None), ("purchase", 2, "ALL", None, "value", "range", "10", "50"), ("purchase", 2, "ALL", None, "event_type", "exclusion", "error", None)]
+    windows = spark.createDataFrame(rows, "kind string, w int, logic string, needed int, field string, predicate string, value_1 string, value_2 string")
+    events = table(spark, sf_dir, "events").withColumn("kind", F.col("event_type"))
+    return rules.evaluate_rules(events, F.broadcast(windows), "event_id", "kind", "w", ["value", "user_id", "event_type"])
 
 
 @register("required_fields", "SELECT c_custkey FROM customer WHERE CAST(c_acctbal > 0 AS INTEGER) + CAST(c_mktsegment <> 'BUILDING' AS INTEGER) + CAST(c_nationkey < 12 AS INTEGER) >= 2")

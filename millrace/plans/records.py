@@ -14,14 +14,20 @@ from millrace.streaming import journal
 _FORMULAS = [("Zn(NO3)2·6H2O", 297.4748), ("ZrCl4", 233.036), ("Cu(OAc)2·H2O", 199.6538), ("Al2(SO4)3", 342.155), ("Fe3O(OAc)6", 537.796), ("not a formula!", None), (None, None)]
 
 
-@register("molar_mass_parse")
+_MASS_SQL = """SELECT * FROM (VALUES ('Zn(NO3)2·6H2O', round(65.38 + 2 * (14.0067 + 3 * 15.999) + 6 * (2 * 1.0079 + 15.999), 4)), ('ZrCl4', round(91.224 + 4 * 35.453, 4)),
+ ('Cu(OAc)2·H2O', round(63.546 + 2 * (2 * 12.011 + 3 * 1.0079 + 2 * 15.999) + 2 * 1.0079 + 15.999, 4)), ('Al2(SO4)3', round(2 * 26.982 + 3 * (32.065 + 4 * 15.999), 4)),
+ ('Fe3O(OAc)6', round(3 * 55.845 + 15.999 + 6 * (2 * 12.011 + 3 * 1.0079 + 2 * 15.999), 4)), ('not a formula!', NULL), (NULL, NULL)) AS t(formula, molar_mass)"""
+
+
+@register("molar_mass_parse", _MASS_SQL)
 def molar_mass_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formulas.with_molar_mass(spark.createDataFrame([(f,) for f, _ in _FORMULAS], "formula string"), "formula")
+    out = formulas.with_molar_mass(spark.createDataFrame([(f,) for f, _ in _FORMULAS], "formula string"), "formula")
+    return out.withColumn("molar_mass", F.round("molar_mass", 4))
 
 
-@register("synthesis_features", "SELECT * FROM (VALUES (0, 50.0, 0.5), (1, 100.0, NULL), (2, NULL, 1.0), (3, NULL, NULL)) AS t(i, metel_concnertation, M_L_ratio)")
+@register("synthesis_features", "SELECT * FROM (VALUES (0, 50.0, 0.5), (1, 100.0, NULL), (2, NULL, 1.0), (3, NULL, NULL), (4, 25.0, 0.17), (5, NULL, 1.0)) AS t(i, metel_concnertation, M_L_ratio)")
 def synthesis_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, "0.5", "mmol", "a", "1.0", "mmol", None, "10"), (1, "1", "mmol", "a", "2", "mg", None, "10"), (2, "1", "g", "ratio 1 : 1", "2", "mmol", None, "5"), (3, "x", "mmol", None, "2", "mmol", "mg", "5")]
+    rows = [(0, "0.5", "mmol", "a", "1.0", "mmol", None, "10"), (1, "1", "mmol", "a", "2", "mg", None, "10"), (2, "1", "g", "ratio 1 : 1", "2", "mmol", None, "5"), (3, "x", "mmol", None, "2", "mmol", "mg", "5"), (4, "1/2", "mmol", None, "3", "mmol", "nan", "20"), (5, "1", "g", "1：1", "1", "g", None, "5")]
     df = spark.createDataFrame(rows, "i int, metal_1_amount_value string, metal_1_amount_unit string, metal_1_amount_text string, linker_1_amount_value string, linker_1_amount_unit string, linker_2_amount_unit string, solvent_main_ml string")
     return formulas.synthesis_features(df).select("i", "metel_concnertation", "M_L_ratio")
 

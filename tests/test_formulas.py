@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions import formulas
 from millrace.plans.records import _FORMULAS
@@ -19,3 +20,11 @@ def test_counts(formula, counts):
 def test_no_formula(formula):
     with pytest.raises(ValueError, match="not a formula"):
         formulas.element_counts(formula)
+
+
+def test_metals_of_precursors(spark):
+    rows = [("Copper nitrate", None, "Cu"), ("silver nitrate", None, "Ag"), ("Iron chloride", None, "Fe"), ("PdCl2", None, "Pd"), ("Zinc acetate dihydrate", None, "Zn"), ("cupric acetate", None, "Cu")]
+    rows += [("something", "Zr", "Zr"), ("1,3-(Co)", None, "Co"), (None, None, "Me_unknown"), ("123", None, "Me_unknown")]
+    df = spark.createDataFrame(rows, "name string, short string, want string")
+    got = df.select("want", formulas.first_symbol(F.col("name"), F.col("short"), "Me_unknown").alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]

@@ -103,9 +103,65 @@ def test_option_product_order(spark):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([("range", "5", "1", "9"), ("gt", "5", "5", None), ("exclusion", " A ", "a", None), ("discrete_set", "b", "a, B", None), ("unparsed_freetext", "x", None, None), ("lt", None, "3", None)], "p string, t string, a string, b string")
+    rows = [("range", "5", "1", "9"), ("gt", "5", "5", None), ("exclusion", " A ", "a", None), ("discrete_set", "b", "a ||| B", None), ("unparsed_freetext", "x", None, None), ("lt", None, "3", None)]
+    rows += [("exclusion", None, "a", None), ("discrete_set", "4,4'-bipyridine", "2,2'-bipyridine ||| 4,4'-Bipyridine", None), ("discrete_set", "1.0", "1 ||| 3", None), ("categorical_equals", None, "a", None)]
+    df = spark.createDataFrame(rows, "p string, t string, a string, b string")
     got = [r.ok for r in df.select(rules.satisfied(*map(F.col, "ptab")).alias("ok")).collect()]
-    assert got == [True, False, False, True, None, False]
+    assert got == [True, False, False, True, False, False, True, True, True, False]
+
+
+def test_rules_of_a_window(spark):
+    """One of a SINGLE window's rules is enough, free text fails ALL, and a rule over a field that is not there counts."""
+    rows = [("d", 1, "SINGLE", None, "x", "gt", "9", None), ("d", 1, "SINGLE", None, "y", "categorical_equals", "a", None), ("d", 2, "ALL", None, "x", "gt", "1", None), ("d", 2, "ALL", None, "y", "unparsed_freetext", "?", None)]
+    rows += [("d", 3, "ALL", None, "x", "gt", "1", None), ("d", 3, "ALL", None, "z", "gt", "1", None), ("d", 4, "AT_LEAST", 1, "z", "exclusion", "q", None)]
+    windows = spark.createDataFrame(rows, "doc string, w int, logic string, needed int, field string, predicate string, value_1 string, value_2 string")
+    candidates = spark.createDataFrame([("d", 7, "5", "A")], "doc string, c int, x string, y string")
+    got = {r.w: r.fits for r in rules.evaluate_rules(candidates, windows, "c", "doc", "w", ["x", "y"]).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True}
+    literal = rules.window_columns([r[1:] for r in rows], {"x": F.lit("5"), "y": F.lit("A")})
+    assert spark.range(1).select(*(c.alias(str(w)) for w, c in literal.items())).first().asDict() == {str(w): ok for w, ok in got.items()}
+
+
+def test_shards_of_wide_rows(spark):
+    """Ranges are the same for all readers, whatever columns they read."""
+    n, parts = 20_003, 5
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.md5(F.col("id").cast("string")).alias("a"), (F.col("id") % 13).alias("b"))
+    got = {(r.shard, r.k) for r in split.shards(df, "k", parts).collect()}
+    small, extra = divmod(n, parts)
+    edges = np.cumsum([0, *(small + (i < extra) for i in range(parts))])
+    assert got == {(int(np.searchsorted(edges, k, side="right")), k) for k in range(n)}
+
+
+def test_samples_keep_what_is_protected(spark):
+    df = spark.createDataFrame([(i, i % 2, i < 6) for i in range(40)], "i int, y int, p boolean")
+    got = split.sample_to_counts(df, "y", {0: 5, 1: 9}, [split.seeded(1, "i"), "i"], F.col("p")).collect()
+    assert sorted(r.i for r in got if r.p) == list(range(6)) and sum(r.y for r in got) == 9 and len(got) == 14
+    for wrong in ({0: 2, 1: 9}, {0: 21, 1: 9}):
+        with pytest.raises(ValueError, match="asked for"):
+            split.sample_to_counts(df, "y", wrong, ["i"], F.col("p"))
+
+
+def test_rules_that_repeat(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "x")], "k string, v string")
+    fixes = spark.createDataFrame([("a", "x", "y"), ("a", "x", "y"), ("a", "x", "z")], "k string, value string, replacement string")
+    assert sorted(map(tuple, joins.correct_values(df, fixes, "k", ["v"]).collect())) == [("a", "y"), ("b", "x")]
+
+
+def test_a_long_chain_is_matched():
+    n = 3000
+    links = {i: [i, i + 1] for i in range(n)} | {n: [0]}
+    assert len(matching.largest_matching(links)) == n + 1
+
+
+def test_best_swap_against_all(spark):
+    draw = np.random.default_rng(4)
+    sizes = np.stack([draw.integers(1, 9, 6), np.zeros(6, int), np.ones(6, int)], 1)
+    sizes[:, 1] = draw.integers(0, sizes[:, 0] + 1)
+    there, taken = draw.integers(2, 9, 6), np.array([1, 2, 0, 1, 1, 0])
+    total, hold = there @ sizes, taken @ sizes
+    cost = lambda parts: split.holdout_costs(parts, total, (12, 5), "equal")
+    want = min(float(cost((hold + n * (sizes[j] - sizes[i]))[None])[0]) for i in range(6) for j in range(6) for n in (1, 2, 4) if n <= taken[i] and n <= there[j] - taken[j])
+    assert split.best_swap(taken, there, sizes, hold, cost, draw)[0] == want
 
 
 def test_assignment_against_brute_force():
