@@ -1,3 +1,3 @@
 """Importing this module registers every plan."""
 
-from millrace.plans import curation, profiling, records  # noqa: F401
+from millrace.plans import curation, profiling, records, scoring  # noqa: F401
