@@ -16,6 +16,8 @@ from millrace.session import table  # noqa: F401
 
 #: Tables of at most so many bytes are broadcast.
 BROADCAST_BYTES = 24 << 20
+#: Heaps of at least so many bytes are not collected between tables.
+TIDY_HEAP = 4 << 30
 _OWN: dict[str, str] = {}
 #: Where materialised tables are, by the DataFrame that reads them.
 _PATHS: dict[int, tuple] = {}
@@ -41,6 +43,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = weakref.ref(out), path
+    tidy(df.sparkSession)
     return out
 
 
@@ -57,9 +60,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets go of broadcasts and shuffle files of plans that ended: Spark's cleaner acts on what the collectors find."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets go of broadcasts and shuffle files of plans that ended: Spark's cleaner acts on what the collectors find.
+
+    Drivers of a large heap are left to collect by themselves.
+    """
+    jvm = spark.sparkContext._jvm
+    if jvm.Runtime.getRuntime().maxMemory() < TIDY_HEAP:
+        gc.collect()
+        jvm.System.gc()
 
 
 def arrow_type(df: DataFrame, name: str) -> pa.DataType:

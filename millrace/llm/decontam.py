@@ -3,10 +3,10 @@
 Items are cut into parts of at most `PART` words and indexed. Every text is read in passages of `2 * PART` words,
 each starting `PART` words after the last, so that any part lies whole in some passage. A passage's score for a
 part is BM25 over its distinct words, as a share of the part's score for itself; all parts at or above `SHARE`
-are retrieved by block-max WAND: cursors over postings in the order of parts, a pivot by the largest weights of
-words, and blocks of postings skipped by the largest weights there. A passage starts a search only if it has an
-essential word of some part (the words without which that stays below its threshold) in a block whose largest weights
-can reach the threshold. All bounds are exact: nothing is lost.
+are retrieved by an inverted index with the bounds of block-max WAND. A part's commonest words, which together stay below
+the threshold, have no postings for it; the cursors of the others (its essential words) go over postings in the order of
+parts, and blocks of postings are skipped where the largest weights there cannot reach the threshold. All bounds are
+exact: nothing is lost. (Pivots over the cursors of all words, as plain WAND has them, cost three times as much here.)
 
 A retrieved item is verified around the passage: of the five-word shingles of its question and of its answer
 at least `OVERLAP` each must be there. The answer is the item's last sentence, the question what comes before;
@@ -94,64 +94,42 @@ class Index:
             for w in sorted(raw, key=lambda w: (-frequency[w], len(w), w)):
                 left -= raw[w] / whole
                 if left <= 1e-9:
-                    essential[self.vocabulary[w]].add(p // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
+                    essential[self.vocabulary[w]].add(p)
+        largest: list[dict[int, float]] = [{} for _ in range(self.blocks)]
         for p, weights in enumerate(self.weights):
+            block = largest[p // BLOCK]
             for w, x in weights.items():
-                postings[w].append((p, x))
-        #: By word: the parts it is in, in order, with its weights there, and the largest of them.
-        self.postings = {w: ([p for p, _ in found], [x for _, x in found], max(x for _, x in found)) for w, found in postings.items()}
-        largest: dict[int, dict[int, float]] = defaultdict(dict)
-        for p, weights in enumerate(self.weights):
-            for w, x in weights.items():
-                largest[w][p // BLOCK] = max(x, largest[w].get(p // BLOCK, 0.0))
-        self.largest = dict(largest)
-        #: By essential word: the blocks with parts that it is essential for.
-        self.essential = dict(essential)
+                block[w] = max(x, block.get(w, 0.0))
+        #: By block: the largest weight there of each word.
+        self.largest = largest
+        #: By word: the parts that it is essential for, in order.
+        self.essential = {w: sorted(found) for w, found in essential.items()}
         self.starts = np.zeros(len(self.vocabulary) + 1, bool)
         self.starts[list(self.essential)] = True
 
     def retrieve(self, words: set[int]) -> list[tuple[int, float]]:
-        """(part, score) of all parts that score at least SHARE for a passage's words, by block-max WAND.
+        """(part, score) of all parts that score at least SHARE for a passage's words.
 
-        Each word's postings have a cursor. The pivot is the first part, in the order of the cursors, that the largest
-        weights of the words up to it can lift to the threshold. If the largest weights in its block cannot, all these
-        cursors go on to the next block, or to the next part that another word brings in; else the part is scored, once
-        all of them have come to it.
+        The cursors of its essential words go over their postings in the order of parts. The next part is the pivot: if
+        the largest weights of the passage's words in its block stay below the threshold, all cursors go on to the next
+        block, else the part is scored.
         """
-        least = SHARE - 1e-9
-        heads = sorted((self.postings[w][0][0], w, 0) for w in words)
-        out = []
-        while heads:
-            reach, pivot = 0.0, -1
-            for pivot, (_, w, _) in enumerate(heads):
-                reach += self.postings[w][2]
-                if reach >= least:
-                    break
-            if reach < least:
-                break
-            part = heads[pivot][0]
-            while pivot + 1 < len(heads) and heads[pivot + 1][0] == part:
-                pivot += 1
-            block = part // BLOCK
-            if sum(self.largest[w].get(block, 0.0) for _, w, _ in heads[: pivot + 1]) < least:
-                to = (block + 1) * BLOCK if pivot + 1 == len(heads) else min((block + 1) * BLOCK, heads[pivot + 1][0])
-            else:
-                if heads[0][0] == part:
-                    score = sum(self.postings[w][1][at] for _, w, at in heads[: pivot + 1])
-                    if score >= least:
-                        out.append((part, score))
-                    to = part + 1
-                else:
-                    to = part
-            moved = []
-            for p, w, at in heads[: pivot + 1]:
-                parts = self.postings[w][0]
-                if p < to:
-                    at = bisect_left(parts, to, at + 1)
-                if at < len(parts):
-                    moved.append((parts[at], w, at))
-            heads = sorted(moved + heads[pivot + 1 :])
+        least, out = SHARE - 1e-9, []
+        postings = sorted({p for w in words if w in self.essential for p in self.essential[w]})
+        at, block = 0, -1
+        while at < len(postings):
+            part = postings[at]
+            if part // BLOCK != block:
+                block = part // BLOCK
+                inner = self.largest[block]
+                if sum(inner[w] for w in words & inner.keys()) < least:
+                    at = bisect_left(postings, (block + 1) * BLOCK, at + 1)
+                    continue
+            weights = self.weights[part]
+            score = sum(weights[w] for w in words & weights.keys())
+            if score >= least:
+                out.append((part, score))
+            at += 1
         return out
 
     def search(self, ids: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
@@ -163,17 +141,9 @@ class Index:
         passages = np.unique(np.concatenate([np.minimum(hits // PART, last), np.maximum(np.minimum(hits // PART, last) - 1, 0), np.maximum(hits // PART - 1, 0)]))
         for k in passages.tolist():
             lo, hi = k * PART, min(len(ids), (k + 2) * PART)
-            words = {w for w in ids[lo:hi].tolist() if w in self.postings}
-            bounds = dict.fromkeys((b for w in words if w in self.essential for b in self.essential[w]), 0.0)
-            if not bounds:
-                continue
-            for w in words:
-                inner = self.largest[w]
-                for b in bounds.keys() & inner.keys() if len(bounds) > 1 else (b for b in bounds if b in inner):
-                    bounds[b] += inner[b]
-            if max(bounds.values()) >= SHARE - 1e-9:
-                for p, score in self.retrieve(words):
-                    yield p, score, lo, hi
+            words = set(ids[lo:hi].tolist())
+            for p, score in self.retrieve(words):
+                yield p, score, lo, hi
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of the items verified, by item."""
