@@ -95,7 +95,7 @@ class Index:
                 left -= raw[w] / whole
                 if left <= 1e-9:
                     essential[self.vocabulary[w]].add(p)
-        largest: list[dict[int, float]] = [{} for _ in range(self.blocks)]
+        largest: list[dict[int, float]] = [{} for _ in range(-(-len(parts) // BLOCK))]
         for p, weights in enumerate(self.weights):
             block = largest[p // BLOCK]
             for w, x in weights.items():
