@@ -43,7 +43,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = weakref.ref(out), path
-    tidy(df.sparkSession)
     return out
 
 

@@ -16,7 +16,7 @@ Candidates are confirmed on full sets: `100 * |A & B| >= threshold * |A | B|`. F
 neighbour, so that large groups collapse into few components; then every other candidate pair whose ends are
 not yet in one component. In regions above `SMALL`, every class outside the region's largest component is then
 compared with all classes of the region, part by part. Components come from alternating large-star and small-star rounds over
-links, all in tables.
+links, all in tables; later links only join components that are there, and copies follow their representative.
 
 Documents without words (null and empty texts) are linked with nothing. Null ids stay out of all links: component_id
 null, kept true. Rows of one doc_id are one document, linked through any of its texts, and repeated rows count once.
@@ -322,6 +322,22 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with more links (a, b): only links between components are gone through. comps is used up."""
+    ends = [comps.select(F.col("rep").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+    lifted = links.join(small(ends[0]), "a", "left").join(small(ends[1]), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    between = materialise(lifted.filter("a != b").distinct(), "between")
+    if not between.limit(1).count():
+        discard(between)
+        return comps
+    more = components(between)
+    moved = small(more.select(F.col("rep").alias("comp"), F.col("comp").alias("to")))
+    old = comps.join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp"))
+    out = materialise(old.unionByName(more.join(small(comps.select("rep")), "rep", "left_anti").select("rep", "comp")), "components")
+    discard(comps, between, more)
+    return out
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs; links have a Jaccard similarity of threshold hundredths."""
     forest = Forest.at(threshold)
@@ -345,7 +361,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pick = F.when(F.max(F.col("est") >= 0.9), F.min(F.when(F.col("est") >= 0.9, F.col("y")))).otherwise(F.max_by("y", F.struct("est", -F.col("y"))))
     first = ends.groupBy("x").agg(pick.alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     first = materialise(first, "first")
-    copies = members.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     linked = materialise(confirm(docs, reps, first, threshold), "confirmed")
     comps = components(linked)
 
@@ -356,18 +371,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return open_.select("a", "b")
 
     rest = materialise(still_apart(pairs.join(first, ["a", "b"], "left_anti"), comps), "rest")
-    discard(comps)
-    more = materialise(linked.union(confirm(docs, reps, rest, threshold)), "confirmed")
-    comps = components(more)
+    more = materialise(confirm(docs, reps, rest, threshold), "confirmed")
+    comps = merged(comps, more)
     with_comp = parts.filter(F.col("size") > SMALL).join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     across = materialise(candidates(with_comp, True, forest).join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "across")
-    last = materialise(more.union(confirm(docs, reps, across, threshold)).union(copies), "confirmed")
-    discard(comps)
-    comps = components(last)
+    # ids with several texts link their classes
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a != z").select("doc_id", "a")
+    through = members.join(small(several), "doc_id").select("a", F.col("rep").alias("b")).filter("a != b")
+    last = materialise(confirm(docs, reps, across, threshold).union(through).distinct(), "confirmed")
+    comps = merged(comps, last)
+    # a document is where the representative of its class is; most are on their own
+    placed = members.join(small(comps), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
+    moved = materialise(placed.filter("comp != doc_id").groupBy("doc_id").agg(F.min("comp").alias("comp")), "moved")
     own = F.coalesce("comp", "doc_id")
-    out = rows.select("doc_id", "n_shingles").join(comps.withColumnRenamed("rep", "doc_id"), "doc_id", "left")
+    out = rows.select("doc_id", "n_shingles").join(small(moved), "doc_id", "left")
     out = materialise(out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")), "near_duplicates")
-    discard(rows, reps, near, pairs, first, linked, rest, more, across, last, comps)
+    discard(rows, reps, near, pairs, first, linked, rest, more, across, last, comps, moved)
     return out
 
 

@@ -77,8 +77,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(count, "gram string, c0 bigint, c1 bigint").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
-def ratios(top: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """Log-likelihood ratios (gram, n, llr) of the grams seen, and (gram, n, llr) of contexts for unseen grams."""
+def ratios(top: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Log-likelihood ratios (gram, n, llr) of the grams seen, (gram, n, llr) of contexts for unseen grams, and the tables behind them."""
     held, ctx = F.col, lambda k: F.substring("gram", 1, k)
     contexts = top.groupBy(ctx(ORDER - 1).alias("ctx")).agg(
         F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.count_if(held("c0") > 0).alias("t0"), F.count_if(held("c1") > 0).alias("t1")
@@ -103,7 +103,8 @@ def ratios(top: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, DataF
             .select("gram", ((F.greatest(held("k") - discount, F.lit(0.0)) + discount * held("t") * held("low")) / held("all")).alias("p"))
         )
     weight = lambda n, t: F.when(held(n) > 0, discount * held(t) / held(n)).otherwise(1.0)
-    contexts = contexts.withColumns({"w0": weight("n0", "t0"), "w1": weight("n1", "t1")})
+    contexts = materialise(contexts.withColumns({"w0": weight("n0", "t0"), "w1": weight("n1", "t1")}), "contexts")
+    shared = materialise(shared, "shared")
     part = lambda c, n: F.when(held(n) > 0, F.greatest(held(c) - discount, F.lit(0.0)) / held(n)).otherwise(0.0)
     lower = shared.select(held("gram").alias("tail"), held("p").alias("low"))
     seen = (
@@ -112,7 +113,7 @@ def ratios(top: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, DataF
         .join(lower, "tail")
         .select("gram", (held("c0") + held("c1")).alias("n"), F.log((part("c1", "n1") + held("w1") * held("low")) / (part("c0", "n0") + held("w0") * held("low"))).alias("llr"))
     )
-    return seen, contexts.select(held("ctx").alias("gram"), (held("n0") + held("n1")).alias("n"), F.log(held("w1") / held("w0")).alias("llr"))
+    return seen, contexts.select(held("ctx").alias("gram"), (held("n0") + held("n1")).alias("n"), F.log(held("w1") / held("w0")).alias("llr")), [contexts, shared]
 
 
 def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
@@ -235,8 +236,10 @@ def with_evidence(rows: DataFrame, tables, text: str, drop: bool) -> DataFrame:
 
 def model(top: DataFrame) -> Broadcast:
     """The tables of ratios of seen grams and of contexts."""
-    seen, unseen = ratios(top)
-    return top.sparkSession.sparkContext.broadcast((Table.collect(seen, ORDER), Table.collect(unseen, ORDER - 1)))
+    seen, unseen, behind = ratios(top)
+    out = top.sparkSession.sparkContext.broadcast((Table.collect(seen, ORDER), Table.collect(unseen, ORDER - 1)))
+    discard(*behind)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple:
