@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import discard, materialise, small, table
 
 LEAST = 1
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 HOT = 1024
 #: Lines of more tokens have 128 parities instead of 64.
 LONG = 80
