@@ -5,8 +5,8 @@ everything else as one space. Every run of `RUN` such sentences with at least `M
 independent 64-bit hashes); a run that occurs more than once in all documents keeps its first place, by doc_id
 (null first), text and position, and all sentences of its other places go.
 
-Sentences end at . ! ? and their full-width forms and at line breaks; one without an end for `CLAUSE` characters is cut
-at its next clause mark or blank, so a long sentence that comes again is a run of its parts.
+Sentences end at . ! ? and their full-width forms and at line breaks; one without an end for `CLAUSE` + 80 characters is
+cut at the next clause mark or blank after `CLAUSE`, so a long sentence that comes again is a run of its parts.
 
 Only hashes are dealt out; the count of a hash that many rows share is added up before it is dealt, and the join
 back is one that Spark splits where it is uneven. Null texts stay null. Rows that repeat both id and text are one
@@ -29,17 +29,28 @@ RUN = 2
 #: A run needs this many words, or this many characters in scripts that do not part words.
 MIN_WORDS, MIN_CHARS = 12, 72
 #: Tiles any text: what stands before a sentence end, the end itself and the white space after it. What has more than
-#: CLAUSE characters without an end is cut at its next clause mark or blank, so that long sentences are runs too.
+#: CLAUSE + 80 characters without an end is cut at the next clause mark or blank after CLAUSE, so that long sentences
+#: are runs too.
 CLAUSE = 160
-_ENDS = r".!?。！？\n"
-SENTENCE = rf"[^{_ENDS}]{{{CLAUSE}}}[^{_ENDS},;:，；： ]{{0,80}}[,;:，；： ]+|[^{_ENDS}]{{0,{CLAUSE + 80}}}[{_ENDS}]+[ \t\r\n]*|[^{_ENDS}]{{1,{CLAUSE + 80}}}"
+#: Full-width ends are read as plain ones: Java matches classes of other than ASCII characters many times slower.
+WIDE, PLAIN = "。！？", "..."
+_ENDS = r".!?\n"
+SENTENCE = rf"[^{_ENDS}]{{0,{CLAUSE + 80}}}[{_ENDS}]+[ \t\r\n]*|[^{_ENDS}]{{{CLAUSE}}}[^{_ENDS},;:，；： ]{{0,80}}[,;:，；： ]+|[^{_ENDS}]{{1,{CLAUSE + 80}}}"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def sentences(text: Column) -> Column:
     """array<struct<at, norm>>: the sentences that hold letters or digits, with their places among all tiles."""
     norm = lambda s, i: F.struct(i.alias("at"), F.trim(F.regexp_replace(F.lower(s), NOT_WORD, " ")).alias("norm"))
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), norm), lambda s: s["norm"] != "")
+    return F.filter(F.transform(F.regexp_extract_all(F.translate(text, WIDE, PLAIN), F.lit(SENTENCE), F.lit(0)), norm), lambda s: s["norm"] != "")
+
+
+_TILES, _WIDE = re.compile(SENTENCE), str.maketrans(WIDE, PLAIN)
+
+
+def tiles_of(text: str) -> list[str]:
+    """The tiles of a text as they stand there."""
+    return [text[m.start() : m.end()] for m in _TILES.finditer(text.translate(_WIDE))]
 
 
 def spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -76,14 +87,12 @@ def remove_repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
     found = materialise(spans(slim, run, min_words), "spans")
     covered = materialise(repeated(found), "covered")
     discard(found)
-    tiles = re.compile(SENTENCE)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
             for t, gone in zip(batch.column("text").to_pylist(), batch.column("tiles").to_pylist(), strict=True):
                 out = set(gone or ())
-                texts.append("".join(x for i, x in enumerate(tiles.findall(t)) if i not in out) if out else t)
+                texts.append("".join(x for i, x in enumerate(tiles_of(t)) if i not in out) if out else t)
                 counts.append(len(out))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "text", "n_removed"])
 
@@ -98,7 +107,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = rf"""
 WITH tiles AS (
-  SELECT doc_id, text, regexp_extract_all(text, '{SENTENCE}') AS t FROM documents
+  SELECT doc_id, text, regexp_extract_all(translate(text, '{WIDE}', '{PLAIN}'), '{SENTENCE}') AS t FROM documents
 ), norms AS (
   SELECT doc_id, text, list_filter([{{'at': i, 'norm': trim(regexp_replace(lower(t[i]), '{NOT_WORD}', ' ', 'g'))}} FOR i IN range(1, len(t) + 1)], lambda s : s.norm <> '') AS s FROM tiles
 ), runs AS (
@@ -110,7 +119,7 @@ WITH tiles AS (
 ), gone AS (
   SELECT doc_id, list(DISTINCT x) AS x FROM (SELECT doc_id, unnest(covered) AS x FROM later) GROUP BY doc_id
 )
-SELECT t.doc_id, CASE WHEN x IS NULL THEN t.text ELSE coalesce(list_aggregate([t.t[i] FOR i IN range(1, len(t.t) + 1) IF NOT list_contains(x, i)], 'string_agg', ''), '') END AS text,
+SELECT t.doc_id, CASE WHEN x IS NULL THEN t.text ELSE coalesce(list_aggregate([substr(t.text, CAST(1 + coalesce(list_sum([length(y) FOR y IN t.t[1:i - 1]]), 0) AS BIGINT), length(t.t[i])) FOR i IN range(1, len(t.t) + 1) IF NOT list_contains(x, i)], 'string_agg', ''), '') END AS text,
        CAST(coalesce(len(x), 0) AS BIGINT) AS n_removed
 FROM tiles t LEFT JOIN gone g ON t.doc_id = g.doc_id
 """

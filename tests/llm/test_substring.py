@@ -9,7 +9,7 @@ def brute(rows):
     """Texts without the sentences of non-first repeated runs."""
     seen, out, todo = set(), {}, []
     for key, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        tiles = re.findall(substring.SENTENCE, text or "")
+        tiles = substring.tiles_of(text or "")
         norm = [(i, " ".join(re.findall(r"[^\W_]+", t.lower()))) for i, t in enumerate(tiles)]
         norm = [(i, n) for i, n in norm if n]
         gone = set()
@@ -51,4 +51,4 @@ def test_long_sentences_and_scripts_without_spaces(spark):
     assert {k: (r.text, r.n_removed) for k, r in out.items()} == {k: want[k, t] for k, t in rows}
     assert out[1].n_removed == out[3].n_removed == out[5].n_removed == 0
     assert out[2].text == "" and out[4].text == "前言在此。"
-    assert all("".join(re.findall(substring.SENTENCE, t)) == t for _, t in rows)
+    assert all("".join(substring.tiles_of(t)) == t for _, t in rows)
