@@ -49,3 +49,13 @@ def test_cluster_holdout_takes_the_real_clusters(spark):
     k = rows.select("cluster_key").distinct().count()
     assert k > 200 and sum(r.n_clusters for r in got.values()) == k and got["holdout"].n_clusters == round(0.1 * k)
     assert sum(r.n_rows for r in got.values()) == rows.count() and 0.09 < got["holdout"].n_rows / rows.count() < 0.11
+
+
+@pytest.mark.parametrize("rows", [[], [(i, i % 2) for i in range(5000)], [(97 * i, 1) for i in range(50)] + [(1, 0), (3, 0)], [(97, 1)] * 30 + [(None, 1), (2, None), (97, None)]], ids=["none", "many", "few", "repeated"])
+def test_sample_to_label_counts_takes_any_size(spark, tmp_path, rows):
+    spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = catalog.queries()["sample_to_label_counts"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW labels AS SELECT * FROM '{tmp_path}/labels.parquet/*.parquet'")
+        want = c.execute(catalog.oracle_sql()["sample_to_label_counts"]).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
