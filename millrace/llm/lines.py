@@ -12,10 +12,11 @@ parity filter: the 64 parities of their token sets (128 of long lines) differ in
 differ in elements. Of two lines the shorter one needs a prefix of n - ceil(8/9 n) + 1 only. What passes is verified
 on the lines' words.
 
-A family of many similar lines would meet in all pairs. So under a token that more than `HOT` lines share, lines
-first meet only the earliest lines there, one of each of `ROUNDS` salted parts, round by round; those that prove
-similar are settled and need meet no other earlier line. Under hot tokens only what is not settled then meets every
-earlier line; under all others all pairs meet, at most `HOT` a line.
+A family of many similar lines would meet in all pairs. So each line first meets the earliest line of one of `PARTS`
+salted parts of those that share the least, or the greatest, hash of the rarer half of its words; a line that proves similar is settled
+and need meet no other earlier line. Under a token that more than `HOT` lines share, lines that are not settled meet the
+earliest lines there too, one of each of `ROUNDS` salted parts, round by round. Then every pair meets whose later line
+is not settled.
 
 Null texts stay null; empty texts and empty tables give themselves. A very long text is many lines, or one of many
 tokens: nothing is cut. Equal places cannot tie, as rows that repeat both id and text are one document and get one
@@ -25,8 +26,9 @@ result. Columns other than id and text are not read, and a column of docs named
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, materialise, small, table
@@ -34,6 +36,10 @@ from millrace.llm.common import discard, materialise, small, table
 LEAST = 1
 BUCKETS = 1 << 16
 HOT = 1024
+#: Salted parts of the lines that share a least or greatest hash, each of which has a first line.
+PARTS = 4
+#: From so many pairs on, each line is compared with the first that it meets before all others.
+MANY = 1 << 20
 #: Lines of more tokens have 128 parities instead of 64.
 LONG = 80
 #: Hot tokens of a line that it meets earlier lines under before all others, and how many of these, by round.
@@ -74,9 +80,10 @@ def needed(n: Column) -> Column:
 
 
 def records(lines: DataFrame, common: list[int]) -> DataFrame:
-    """(id, at, again, n, par, half, prefix) of lines: prefix is their rarest tokens, rarest first, as 64-bit ranks.
+    """(id, at, again, n, par, half, least, greatest, prefix) of lines: prefix is their rarest tokens, rarest first, as 64-bit ranks.
 
-    par is 64 parities, half those of one half of the tokens of long lines. Lines that come again have none of them, and
+    par is 64 parities, half those of one half of the tokens of long lines, least and greatest are hashes of their rarer
+    half. Lines that come again have none of them, and
     n tells only whether they have words. Lines without are there too: a filter here would have each line cut twice.
     """
     # Literal arrays once folded. Levels are small numbers, which Java shares; a rank sorts by level, then by hash; ranks
@@ -90,30 +97,63 @@ def records(lines: DataFrame, common: list[int]) -> DataFrame:
     fold = lambda table, mask: F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.array(*table)[t.bitwiseAND(F.lit(mask))]))
     nothing = F.lit(0).cast("bigint")
     par, half = fold(bits, 63), F.when(F.col("n") > LONG, fold([nothing] * 64 + bits, 127)).otherwise(nothing)
-    return rows.select("id", "at", "again", "n", par.alias("par"), half.alias("half"), F.slice("ranked", F.lit(1), F.col("n") - needed(F.col("n")) + 1).alias("prefix"))
+    prefix = F.slice("ranked", F.lit(1), F.col("n") - needed(F.col("n")) + 1)
+    low = F.transform(F.slice("ranked", F.lit(1), F.ceil(F.col("n") / 2).cast("int")), lambda t: t.bitwiseAND(F.lit((1 << 44) - 1)))
+    rows = rows.select("id", "at", "again", "n", par.alias("par"), half.alias("half"), low.alias("low"), prefix.alias("prefix"))
+    return rows.select("id", "at", "again", "n", "par", "half", F.array_min("low").alias("least"), F.array_max("low").alias("greatest"), "prefix")
 
 
 def tokens_of(first: DataFrame, least_needed: Column) -> DataFrame:
-    """(id, at, par, half, ni, token) of the prefixes that are left if at least so many tokens are shared; ni is length and place."""
+    """(id, at, par, half, ni, token) of the prefixes that are left if at least so many tokens are shared.
+
+    ni is the length, a bit that tells whether the line is settled, and the token's place.
+    """
     prefix = F.slice("prefix", F.lit(1), F.col("n") - least_needed.cast("int") + 1)
-    rows = first.select("id", "at", "par", "half", "n", F.posexplode(prefix).alias("i", "token"))
-    return rows.select("id", "at", "par", "half", (F.col("n").cast("bigint") * F.lit(1 << 32) + F.col("i")).alias("ni"), "token")
+    high = F.col("n").cast("bigint") * F.lit(1 << 32) + F.when(F.col("settled"), F.lit(1 << 31)).otherwise(F.lit(0))
+    rows = first.select("id", "at", "par", "half", high.alias("high"), F.posexplode(prefix).alias("i", "token"))
+    return rows.select("id", "at", "par", "half", (F.col("high") + F.col("i")).alias("ni"), "token")
+
+
+def alike(n: Column, m: Column, x: Callable[[str], Column], y: Callable[[str], Column]) -> tuple[Column, Column]:
+    """The tokens that similar lines of n and m tokens share at least; whether lengths and parities, by name, allow it."""
+    overlap = F.ceil((n + m) * 4 / F.lit(9.0) - 1e-9)
+    par, half = (x(c).bitwiseXOR(y(c)) for c in ("par", "half"))
+    odd = F.when(F.least(n, m) > LONG, F.bit_count(half) + F.bit_count(par.bitwiseXOR(half))).otherwise(F.bit_count(par))
+    return overlap, (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (odd <= n + m - 2 * overlap)
+
+
+def settle(docs: DataFrame, first: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """(id, at) of lines that are like the first line of their part of those with their least or greatest hash."""
+    part = F.pmod(F.xxhash64("id", "at"), F.lit(PARTS)).alias("part")
+    heads = first.select("id", "at", "par", "half", "n", part, F.explode(F.array_distinct(F.array("least", "greatest"))).alias("key"))
+    hub = F.min(F.struct("id", "at", "par", "half", "n")).over(Window.partitionBy("key", "part"))
+    both = heads.withColumn("hub", hub).filter(F.struct("hub.id", "hub.at") < F.struct("id", "at"))
+    both = both.filter(alike(F.col("hub.n"), F.col("n"), lambda c: F.col(f"hub.{c}"), F.col)[1])
+    met_first = both.groupBy("id", "at").agg(F.min(F.struct("hub.id", "hub.at")).alias("x"))
+    met_first = materialise(met_first.select(F.col("x.id").alias("x_id"), F.col("x.at").alias("x_at"), F.col("id").alias("y_id"), F.col("at").alias("y_at")), "met_first")
+    settled = materialise(verified(docs, met_first, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at")), "settled")
+    scratch += [met_first, settled]
+    return settled
 
 
 def met(x: DataFrame, y: DataFrame, by_length: bool = False) -> DataFrame:
     """(x_id, x_at, y_id, y_at), x the earlier: pairs of rows that share a token and pass the filters.
 
     by_length: x has the shorter lines of the pairs, and the earlier ones of equal length; else it has the earlier ones.
+    Pairs whose later line is settled are left out.
     """
     x, y = (side.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "at", "par", "half", "ni", "token"))) for s, side in (("x", x), ("y", y)))
     n, m = (F.shiftright(f"{s}_ni", 32) for s in "xy")
-    i, j = (F.col(f"{s}_ni").bitwiseAND(F.lit((1 << 32) - 1)) for s in "xy")
-    overlap = F.ceil((n + m) * 4 / F.lit(9.0) - 1e-9)
-    par, half = (F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")) for c in ("par", "half"))
-    odd = F.when(F.least(n, m) > LONG, F.bit_count(half) + F.bit_count(par.bitwiseXOR(half))).otherwise(F.bit_count(par))
+    i, j = (F.col(f"{s}_ni").bitwiseAND(F.lit((1 << 31) - 1)) for s in "xy")
+    settled_x, settled_y = (F.col(f"{s}_ni").bitwiseAND(F.lit(1 << 31)) != 0 for s in "xy")
+    overlap, fits = alike(n, m, lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
     x_place, y_place = (F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_at").alias("at")) for s in "xy")
-    fits = (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (1 + F.least(n - i - 1, m - j - 1) >= overlap) & (odd <= n + m - 2 * overlap)
-    fits = fits & ((n < m) | ((n == m) & (x_place < y_place)) if by_length else x_place < y_place)
+    fits = fits & (1 + F.least(n - i - 1, m - j - 1) >= overlap)
+    if by_length:
+        # settled lines need no earlier line
+        fits = ~(settled_x & settled_y) & fits & ((n < m) | ((n == m) & (x_place < y_place))) & ~F.when(x_place < y_place, settled_y).otherwise(settled_x)
+    else:
+        fits = ~settled_y & fits & (x_place < y_place)
     pairs = x.join(y, (F.col("x_token") == F.col("y_token")) & fits)
     if by_length:
         first, last = F.least(x_place, y_place), F.greatest(x_place, y_place)
@@ -148,16 +188,16 @@ def verified(docs: DataFrame, pairs: DataFrame, scratch: list[DataFrame]) -> Dat
 
 def under_hot_tokens(docs: DataFrame, rows: DataFrame, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(id, at) of settled lines, and the pairs that are left, from the rows of hot tokens."""
-    order = F.col("ni").bitwiseAND(F.lit((1 << 32) - 1))
+    order = F.col("ni").bitwiseAND(F.lit((1 << 31) - 1))
     first = F.slice(F.array_sort(F.collect_list(F.struct(order.alias("i"), "ni", "token"))), 1, HEADS)  # a line's prefix at most
-    heads = rows.groupBy("id", "at", "par", "half").agg(first.alias("x")).select("id", "at", "par", "half", F.explode("x").alias("x"))
+    heads = rows.filter(F.col("ni").bitwiseAND(F.lit(1 << 31)) == 0).groupBy("id", "at", "par", "half").agg(first.alias("x")).select("id", "at", "par", "half", F.explode("x").alias("x"))
     heads = materialise(heads.select("id", "at", "par", "half", "x.ni", "x.token"), "heads")
     scratch.append(heads)
     settled = None
     for parts in ROUNDS:
         part = F.pmod(F.xxhash64("id", "at"), F.lit(parts))
         earliest = heads.groupBy("token", part.alias("part")).agg(F.min(F.struct("id", "at", "par", "half", "ni")).alias("hub"))
-        hubs = earliest.select("hub.*", "token")
+        hubs = earliest.select("hub.*", "token")  # of what was not settled before; what is left meets all
         asking = heads if settled is None else without(heads, settled)
         pairs = materialise(met(hubs, asking), "met")
         found = verified(docs, pairs, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at")).distinct()
@@ -183,6 +223,10 @@ def later_lines(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     every = materialise(records(marked.select("id", "at", "line", again.alias("again")), rarity(docs)), "records")
     enough = every.filter(F.col("n") >= LEAST)
     equal, first = enough.filter("again").select("id", "at"), enough.filter("NOT again")
+    settled = settle(docs, first, scratch)
+    done = small(settled.select(F.col("id").alias("d"), F.col("at").alias("a"), F.lit(True).alias("settled")))
+    first = first.join(done, F.col("id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("a")), "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    gone = equal.union(settled)
 
     rows, short = tokens_of(first, needed(F.col("n"))), tokens_of(first, F.ceil(F.col("n") * 8 / F.lit(9.0) - 1e-9))
     # a bucket counts its words, so a token of a lower level is on fewer lines
@@ -190,22 +234,25 @@ def later_lines(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     hot = materialise(counts.filter(F.col("k") > HOT).select("token"), "hot")
     scratch += [repeated, every, hot]
     if hot.limit(1).count():
-        settled, left = under_hot_tokens(docs, materialise(rows.join(small(hot), "token"), "hot_rows"), scratch)
+        later, left = under_hot_tokens(docs, materialise(rows.join(small(hot), "token"), "hot_rows"), scratch)
         cold = lambda side: side.join(small(hot), "token", "left_anti")
         pairs = met(cold(short), cold(rows), by_length=True).union(left).distinct()
-        gone = equal.union(settled)
+        gone = gone.union(later)
     else:
-        pairs, gone = met(short, rows, by_length=True), equal
+        pairs = met(short, rows, by_length=True)
     pairs = materialise(pairs, "pairs")
+    scratch.append(pairs)
+    y_of = lambda df: df.select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
+    if pairs.count() < MANY:
+        return gone.union(y_of(verified(docs, pairs, scratch)))
     # most lines have an earlier like one in the first that they meet; only what is left is compared with the others
     first_met = pairs.groupBy("y_id", "y_at").agg(F.min(F.struct("x_id", "x_at")).alias("x"))
     first_met = materialise(first_met.select("x.x_id", "x.x_at", "y_id", "y_at"), "first_met")
-    y_of = lambda df: df.select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
     similar = materialise(y_of(verified(docs, first_met, scratch)), "similar")
     done = small(similar.select(F.col("id").alias("d"), F.col("at").alias("a")))
     others = pairs.join(done, F.col("y_id").eqNullSafe(F.col("d")) & (F.col("y_at") == F.col("a")), "left_anti")
     others = materialise(others, "others")
-    scratch += [pairs, first_met, similar, others]
+    scratch += [first_met, similar, others]
     return gone.union(similar).union(y_of(verified(docs, others, scratch)))
 
 

@@ -63,3 +63,18 @@ def test_short_lines_go_too(spark):
     rows = [(i, f"Share this\nonly {i} here\n   \nEnglish\n漢字の行") for i in range(5)] + [(9, "this share\nNOT english\none two three four"), (10, "one two three four five\nenglish english")]
     out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {0: rows[0][1], **{i: f"only {i} here\n   " for i in range(1, 5)}, 9: "NOT english\none two three four", 10: ""}
+
+
+def test_a_family_does_not_meet_in_all_pairs(spark, monkeypatch):
+    draw, made, kept = random.Random(13), Counter(), lines.materialise
+
+    def counted(df, label):
+        out = kept(df, label)
+        made[label] += out.count()
+        return out
+
+    monkeypatch.setattr(lines, "materialise", counted)
+    base = [word(draw, (4, 9)) for _ in range(60)]
+    family = [[word(draw, (4, 9)) if k == i % 60 else w for k, w in enumerate(base)] for i in range(300)]
+    check(spark, [(i, " ".join(words)) for i, words in enumerate(family)])
+    assert made["pairs"] < 300 * 20  # all pairs are 44850
