@@ -4,19 +4,19 @@ A line's tokens are its distinct words (what spaces part, in lower case); lines
 line goes if an earlier one, by doc_id (null first), line number and text, has a Jaccard similarity of at least
 `SHARE` (4/5) with it, whether that one stays or not.
 
-Equal lines: all but the first go, and only the first is compared with others. Tokens are ordered from rare to
-common by counts over all documents (in `BUCKETS` shared counters, so their table has a fixed size; any order
-gives exact results). Two lines of n and m tokens that are similar share one of their first n - ceil(0.8 n) + 1
-and m - ceil(0.8 m) + 1 tokens. Pairs that meet there must pass the length filter, the positional filter and a
+Equal lines: all but the first go, and only the first is compared with others. Tokens are ordered from long words to
+short ones, as long words are rare, and by hash (any order gives exact results). Two lines of n and m tokens that are
+similar share one of their first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 tokens. Of two lines the shorter one needs
+a prefix of n - ceil(8/9 n) + 1 only. Lines meet under a token and a band of lengths: the longer line is in its own
+band, the shorter one in its own and, by the fewer tokens that lines of that length leave it, in the next. Pairs
+that meet must pass the length filter, the positional filter and a
 parity filter: the 64 parities of their token sets (128 of long lines) differ in no more bits than the sets may
-differ in elements. Of two lines the shorter one needs a prefix of n - ceil(8/9 n) + 1 only. What passes is verified
-on the lines' words.
+differ in elements. What passes is verified on the lines' words.
 
-A family of many similar lines would meet in all pairs. So each line first meets the earliest line of one of `PARTS`
-salted parts of those that share the least, or the greatest, hash of the rarer half of its words; a line that proves similar is settled
-and need meet no other earlier line. Under a token that more than `HOT` lines share, lines that are not settled meet the
-earliest lines there too, one of each of `ROUNDS` salted parts, round by round. Then every pair meets whose later line
-is not settled.
+A family of many similar lines would meet in all pairs. So each line first meets the earliest lines, one of each of `PARTS`
+salted parts, of those that share two of its `LEADING` first tokens (of `MORE_PARTS`, where more than `HOT` lines share them),
+and is compared with the one of these that is before it and has the nearest parities; a line that proves similar is settled
+and need meet no other earlier line. Then every pair meets whose later line is not settled.
 
 Null texts stay null; empty texts and empty tables give themselves. A very long text is many lines, or one of many
 tokens: nothing is cut. Equal places cannot tie, as rows that repeat both id and text are one document and get one
@@ -25,26 +25,31 @@ result. Columns other than id and text are not read, and a column of docs named
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, materialise, small, table
 
 LEAST = 1
-BUCKETS = 1 << 16
-HOT = 1024
-#: Salted parts of the lines that share a least or greatest hash, each of which has a first line.
+#: Salted parts of the lines that share two of so many first tokens, each of which has a first line; parts of more than HOT lines.
 PARTS = 4
+MORE_PARTS = 32
+HOT = 1024
+LEADING = 3
+#: Bits of a word's hash in its rank; those above tell its length, up to LONGEST bytes, from long to short.
+BITS = 58
+LONGEST = 31
 #: From so many pairs on, each line is compared with the first that it meets before all others.
 MANY = 1 << 20
 #: Lines of more tokens have 128 parities instead of 64.
 LONG = 80
-#: Hot tokens of a line that it meets earlier lines under before all others, and how many of these, by round.
-HEADS = 2
-ROUNDS = (4, 32)
+#: Of lengths in one band. Over 1.25, so that similar lines are in one band or in two that are neighbours.
+RATIO = 1.6
+#: Of a token and a band, so many bits are shuffled; others that have them are told apart by the filters.
+KEY_BITS = 40
 
 
 def words_of(line: Column) -> Column:
@@ -59,19 +64,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.filter(F.length("line") >= 2 * LEAST - 1).select("id", (F.col("i").cast("bigint") * F.lit(1 << 31) + F.col("h")).alias("at"), "line")
 
 
-def level(count: int) -> int:
-    """How common a count is, on a logarithmic scale of a byte."""
-    return min(127, int(4 * math.log2(count + 1)))
-
-
-def rarity(docs: DataFrame) -> list[int]:
-    """The level of each bucket's words; BUCKETS counts reach the driver."""
-    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
-    out = [0] * BUCKETS
-    for b, n in zip(counts["b"].to_pylist(), counts["n"].to_pylist(), strict=True):
-        out[b] = level(n)
-    return out
+def rank(word: Column) -> Column:
+    """64 bits that order words from long to short, then by hash."""
+    shorter = F.lit(LONGEST) - F.least(F.octet_length(word), F.lit(LONGEST))
+    return F.shiftleft(shorter.cast("bigint"), BITS).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << BITS) - 1)))
 
 
 def needed(n: Column) -> Column:
@@ -79,86 +75,97 @@ def needed(n: Column) -> Column:
     return F.ceil(n * 4 / F.lit(5.0) - 1e-9).cast("int")
 
 
-def records(lines: DataFrame, common: list[int]) -> DataFrame:
-    """(id, at, again, n, par, half, least, greatest, prefix) of lines: prefix is their rarest tokens, rarest first, as 64-bit ranks.
+def records(lines: DataFrame) -> DataFrame:
+    """(id, at, again, n, par, half, keys, prefix) of lines: prefix is their first tokens by rank.
 
-    par is 64 parities, half those of one half of the tokens of long lines, least and greatest are hashes of their rarer
-    half. Lines that come again have none of them, and
+    par is 64 parities, half those of one half of the tokens of long lines, keys are hashes of each two of the first
+    tokens. Lines that come again have none of them, and
     n tells only whether they have words. Lines without are there too: a filter here would have each line cut twice.
     """
-    # Literal arrays once folded. Levels are small numbers, which Java shares; a rank sorts by level, then by hash; ranks
-    # that cannot be null sort as plain numbers.
-    levels = F.split(F.lit(",".join(map(str, common))), ",").cast("array<bigint>")
-    rank = lambda h: F.shiftleft(levels[h.bitwiseAND(F.lit(BUCKETS - 1))], 44) + h.bitwiseAND(F.lit((1 << 44) - 1))
-    rows = lines.select("id", "at", "again", (F.length(F.trim("line")) > 0).alias("any"), F.when(~F.col("again"), words_of(F.col("line"))).alias("h"))
-    n = F.when(F.col("again"), F.col("any").cast("int")).otherwise(F.size("h"))
-    rows = rows.select("id", "at", "again", n.alias("n"), F.sort_array(F.transform("h", rank)).alias("ranked"))
+    empty = rank(F.lit(""))
+    ranked = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), rank)), empty)
+    rows = lines.select("id", "at", "again", (F.length(F.trim("line")) > 0).alias("any"), F.when(~F.col("again"), F.sort_array(ranked)).alias("ranked"))
+    n = F.when(F.col("again"), F.col("any").cast("int")).otherwise(F.size("ranked"))
+    rows = rows.select("id", "at", "again", n.alias("n"), "ranked")
     bits = [F.lit(1 << k if k < 63 else -(1 << 63)).cast("bigint") for k in range(64)]
     fold = lambda table, mask: F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.array(*table)[t.bitwiseAND(F.lit(mask))]))
     nothing = F.lit(0).cast("bigint")
     par, half = fold(bits, 63), F.when(F.col("n") > LONG, fold([nothing] * 64 + bits, 127)).otherwise(nothing)
     prefix = F.slice("ranked", F.lit(1), F.col("n") - needed(F.col("n")) + 1)
-    low = F.transform(F.slice("ranked", F.lit(1), F.ceil(F.col("n") / 2).cast("int")), lambda t: t.bitwiseAND(F.lit((1 << 44) - 1)))
-    rows = rows.select("id", "at", "again", "n", par.alias("par"), half.alias("half"), low.alias("low"), prefix.alias("prefix"))
-    return rows.select("id", "at", "again", "n", "par", "half", F.array_min("low").alias("least"), F.array_max("low").alias("greatest"), "prefix")
+    first = [F.get("ranked", F.lit(i)) for i in range(LEADING)]
+    keys = F.array_compact(F.array(*(F.when(y.isNotNull(), F.xxhash64(x, y)) for x, y in combinations(first, 2))))
+    return rows.select("id", "at", "again", "n", par.alias("par"), half.alias("half"), keys.alias("keys"), prefix.alias("prefix"))
 
 
-def tokens_of(first: DataFrame, least_needed: Column) -> DataFrame:
-    """(id, at, par, half, ni, token) of the prefixes that are left if at least so many tokens are shared.
+def band(n: Column) -> Column:
+    """The band of lengths that n is in."""
+    return F.floor(F.log(n) / F.log(F.lit(RATIO)))
 
-    ni is the length, a bit that tells whether the line is settled, and the token's place.
+
+def tokens_of(first: DataFrame, shorter: bool) -> DataFrame:
+    """(id, at, par, half, ni, key) of the prefixes of lines, as the shorter or the longer ones of pairs.
+
+    ni is the length, a bit that tells whether the line is settled, and the token's place; key is of the token and a band of
+    lengths.
     """
-    prefix = F.slice("prefix", F.lit(1), F.col("n") - least_needed.cast("int") + 1)
-    high = F.col("n").cast("bigint") * F.lit(1 << 32) + F.when(F.col("settled"), F.lit(1 << 31)).otherwise(F.lit(0))
-    rows = first.select("id", "at", "par", "half", high.alias("high"), F.posexplode(prefix).alias("i", "token"))
-    return rows.select("id", "at", "par", "half", (F.col("high") + F.col("i")).alias("ni"), "token")
+    n, of_band = F.col("n"), lambda by: F.xxhash64(band(n) + by)
+    left = lambda least_needed: F.greatest(n - least_needed.cast("int") + 1, F.lit(0))
+    most = left(F.ceil(n * 8 / F.lit(9.0) - 1e-9)) if shorter else left(needed(n))
+    # of lines of the next band at least so long
+    longer = F.ceil(F.pow(F.lit(RATIO), band(n) + 1) * (1 - 1e-9))
+    beyond = left(F.ceil((n + longer) * 4 / F.lit(9.0) - 1e-9))
+    high = n.cast("bigint") * F.lit(1 << 32) + F.when(F.col("settled"), F.lit(1 << 31)).otherwise(F.lit(0))
+    columns = [F.col("id"), F.col("at"), F.col("par"), F.col("half")]
+    rows = first.select(*columns, high.alias("high"), of_band(0).alias("own"), of_band(1).alias("next"), beyond.alias("beyond"), F.posexplode(F.slice("prefix", F.lit(1), most)).alias("i", "token"))
+    own, after = (F.col("token").bitwiseXOR(F.col(c)).bitwiseAND(F.lit((1 << KEY_BITS) - 1)) for c in ("own", "next"))
+    key = F.explode(F.when(F.col("i") < F.col("beyond"), F.array(own, after)).otherwise(F.array(own))) if shorter else own
+    return rows.select(*columns, (F.col("high") + F.col("i")).alias("ni"), key.alias("key"))
+
+
+def odd(n: Column, m: Column, x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """In how many bits the parities, by name, of lines of n and m tokens differ."""
+    par, half = (x(c).bitwiseXOR(y(c)) for c in ("par", "half"))
+    return F.when(F.least(n, m) > LONG, F.bit_count(half) + F.bit_count(par.bitwiseXOR(half))).otherwise(F.bit_count(par))
 
 
 def alike(n: Column, m: Column, x: Callable[[str], Column], y: Callable[[str], Column]) -> tuple[Column, Column]:
     """The tokens that similar lines of n and m tokens share at least; whether lengths and parities, by name, allow it."""
     overlap = F.ceil((n + m) * 4 / F.lit(9.0) - 1e-9)
-    par, half = (x(c).bitwiseXOR(y(c)) for c in ("par", "half"))
-    odd = F.when(F.least(n, m) > LONG, F.bit_count(half) + F.bit_count(par.bitwiseXOR(half))).otherwise(F.bit_count(par))
-    return overlap, (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (odd <= n + m - 2 * overlap)
+    return overlap, (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (odd(n, m, x, y) <= n + m - 2 * overlap)
 
 
 def settle(docs: DataFrame, first: DataFrame, scratch: list[DataFrame]) -> DataFrame:
-    """(id, at) of lines that are like the first line of their part of those with their least or greatest hash."""
-    part = F.pmod(F.xxhash64("id", "at"), F.lit(PARTS)).alias("part")
-    heads = first.select("id", "at", "par", "half", "n", part, F.explode(F.array_distinct(F.array("least", "greatest"))).alias("key"))
-    hub = F.min(F.struct("id", "at", "par", "half", "n")).over(Window.partitionBy("key", "part"))
-    both = heads.withColumn("hub", hub).filter(F.struct("hub.id", "hub.at") < F.struct("id", "at"))
-    both = both.filter(alike(F.col("hub.n"), F.col("n"), lambda c: F.col(f"hub.{c}"), F.col)[1])
-    met_first = both.groupBy("id", "at").agg(F.min(F.struct("hub.id", "hub.at")).alias("x"))
+    """(id, at) of lines that are like an earlier one, the first of a part of those that share two of their first tokens."""
+    shared = first.select(F.explode("keys").alias("shared")).groupBy("shared").agg(F.count("*").alias("k")).filter("k > 1").select("shared", F.when(F.col("k") > HOT, MORE_PARTS).otherwise(PARTS).alias("parts"))
+    shared = materialise(shared, "shared")
+    heads = first.select("id", "at", "par", "half", "n", F.explode("keys").alias("key"))
+    heads = materialise(heads.join(small(shared), F.col("key") == F.col("shared")).drop("shared"), "settling")
+    part = F.pmod(F.xxhash64("id", "at"), F.col("parts")).alias("part")
+    hubs = heads.groupBy("key", part).agg(F.min(F.struct("id", "at", "par", "half", "n")).alias("hub"))
+    hubs = materialise(hubs.select(F.col("key").alias("hub_key"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("id", "at", "par", "half", "n"))), "hubs")
+    place, hub = (F.struct(F.col(f"{s}id").alias("id"), F.col(f"{s}at").alias("at")) for s in ("", "hub_"))
+    lengths = F.col("hub_n"), F.col("n"), lambda c: F.col(f"hub_{c}"), F.col
+    both = heads.join(small(hubs), (F.col("key") == F.col("hub_key")) & (hub < place) & alike(*lengths)[1])
+    met_first = both.groupBy("id", "at").agg(F.min(F.struct(odd(*lengths).alias("odd"), F.col("hub_id").alias("id"), F.col("hub_at").alias("at"))).alias("x"))
     met_first = materialise(met_first.select(F.col("x.id").alias("x_id"), F.col("x.at").alias("x_at"), F.col("id").alias("y_id"), F.col("at").alias("y_at")), "met_first")
     settled = materialise(verified(docs, met_first, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at")), "settled")
-    scratch += [met_first, settled]
+    scratch += [shared, heads, hubs, met_first, settled]
     return settled
 
 
-def met(x: DataFrame, y: DataFrame, by_length: bool = False) -> DataFrame:
-    """(x_id, x_at, y_id, y_at), x the earlier: pairs of rows that share a token and pass the filters.
-
-    by_length: x has the shorter lines of the pairs, and the earlier ones of equal length; else it has the earlier ones.
-    Pairs whose later line is settled are left out.
-    """
-    x, y = (side.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "at", "par", "half", "ni", "token"))) for s, side in (("x", x), ("y", y)))
+def met(first: DataFrame) -> DataFrame:
+    """(x_id, x_at, y_id, y_at), x the earlier: pairs of lines that share a key and pass the filters, their later line not settled."""
+    x, y = (tokens_of(first, shorter).withColumnsRenamed({c: f"{s}_{c}" for c in ("id", "at", "par", "half", "ni", "key")}) for s, shorter in (("x", True), ("y", False)))
     n, m = (F.shiftright(f"{s}_ni", 32) for s in "xy")
     i, j = (F.col(f"{s}_ni").bitwiseAND(F.lit((1 << 31) - 1)) for s in "xy")
     settled_x, settled_y = (F.col(f"{s}_ni").bitwiseAND(F.lit(1 << 31)) != 0 for s in "xy")
-    overlap, fits = alike(n, m, lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
     x_place, y_place = (F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_at").alias("at")) for s in "xy")
-    fits = fits & (1 + F.least(n - i - 1, m - j - 1) >= overlap)
-    if by_length:
-        # settled lines need no earlier line
-        fits = ~(settled_x & settled_y) & fits & ((n < m) | ((n == m) & (x_place < y_place))) & ~F.when(x_place < y_place, settled_y).otherwise(settled_x)
-    else:
-        fits = ~settled_y & fits & (x_place < y_place)
-    pairs = x.join(y, (F.col("x_token") == F.col("y_token")) & fits)
-    if by_length:
-        first, last = F.least(x_place, y_place), F.greatest(x_place, y_place)
-        pairs = pairs.select(first["id"].alias("x_id"), first["at"].alias("x_at"), last["id"].alias("y_id"), last["at"].alias("y_at"))
-    return pairs.select("x_id", "x_at", "y_id", "y_at").distinct()
+    overlap, fits = alike(n, m, lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
+    fits = (n <= m) & fits & (1 + F.least(n - i - 1, m - j - 1) >= overlap) & ((n < m) | (x_place < y_place))
+    fits = fits & ~F.when(x_place < y_place, settled_y).otherwise(settled_x)  # settled lines need no earlier line
+    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & fits)
+    before, after = F.least(x_place, y_place), F.greatest(x_place, y_place)
+    return pairs.select(before["id"].alias("x_id"), before["at"].alias("x_at"), after["id"].alias("y_id"), after["at"].alias("y_at")).distinct()
 
 
 def by_numbers(text: Column, numbers: Column, use) -> Column:
@@ -186,32 +193,6 @@ def verified(docs: DataFrame, pairs: DataFrame, scratch: list[DataFrame]) -> Dat
     return joined.filter(5 * both >= 4 * (F.size("x") + F.size("y") - both)).select("x_id", "x_at", "y_id", "y_at")
 
 
-def under_hot_tokens(docs: DataFrame, rows: DataFrame, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(id, at) of settled lines, and the pairs that are left, from the rows of hot tokens."""
-    order = F.col("ni").bitwiseAND(F.lit((1 << 31) - 1))
-    first = F.slice(F.array_sort(F.collect_list(F.struct(order.alias("i"), "ni", "token"))), 1, HEADS)  # a line's prefix at most
-    heads = rows.filter(F.col("ni").bitwiseAND(F.lit(1 << 31)) == 0).groupBy("id", "at", "par", "half").agg(first.alias("x")).select("id", "at", "par", "half", F.explode("x").alias("x"))
-    heads = materialise(heads.select("id", "at", "par", "half", "x.ni", "x.token"), "heads")
-    scratch.append(heads)
-    settled = None
-    for parts in ROUNDS:
-        part = F.pmod(F.xxhash64("id", "at"), F.lit(parts))
-        earliest = heads.groupBy("token", part.alias("part")).agg(F.min(F.struct("id", "at", "par", "half", "ni")).alias("hub"))
-        hubs = earliest.select("hub.*", "token")  # of what was not settled before; what is left meets all
-        asking = heads if settled is None else without(heads, settled)
-        pairs = materialise(met(hubs, asking), "met")
-        found = verified(docs, pairs, scratch).select(F.col("y_id").alias("id"), F.col("y_at").alias("at")).distinct()
-        settled = materialise(found if settled is None else found.union(settled), "settled")
-        scratch += [pairs, settled]
-    return settled, met(rows, without(rows, settled))
-
-
-def without(rows: DataFrame, settled: DataFrame) -> DataFrame:
-    """The rows (id, at, ...) of other lines."""
-    gone = small(settled.select(F.col("id").alias("d"), F.col("at").alias("a")))
-    return rows.join(gone, F.col("id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("a")), "left_anti")
-
-
 def later_lines(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """(id, at), some of them again, of every line that an earlier one makes go. scratch: gets the tables that its rows come from."""
     place = F.struct("id", "at")
@@ -220,28 +201,17 @@ def later_lines(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     repeated = materialise(sets.filter("first != last").select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), "first"), "repeated")
     marked = lines.join(small(repeated), (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")), "left")
     again = F.col("r1").isNotNull() & ~F.col("first").eqNullSafe(place)
-    every = materialise(records(marked.select("id", "at", "line", again.alias("again")), rarity(docs)), "records")
+    every = materialise(records(marked.select("id", "at", "line", again.alias("again"))), "records")
     enough = every.filter(F.col("n") >= LEAST)
     equal, first = enough.filter("again").select("id", "at"), enough.filter("NOT again")
     settled = settle(docs, first, scratch)
+    discard(*(df for df in scratch if df is not settled))  # and the shuffle files so far, before the largest
     done = small(settled.select(F.col("id").alias("d"), F.col("at").alias("a"), F.lit(True).alias("settled")))
     first = first.join(done, F.col("id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("a")), "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     gone = equal.union(settled)
 
-    rows, short = tokens_of(first, needed(F.col("n"))), tokens_of(first, F.ceil(F.col("n") * 8 / F.lit(9.0) - 1e-9))
-    # a bucket counts its words, so a token of a lower level is on fewer lines
-    counts = rows.filter(F.col("token") >= F.lit(level(HOT) << 44)).groupBy("token").agg(F.count("*").alias("k"))
-    hot = materialise(counts.filter(F.col("k") > HOT).select("token"), "hot")
-    scratch += [repeated, every, hot]
-    if hot.limit(1).count():
-        later, left = under_hot_tokens(docs, materialise(rows.join(small(hot), "token"), "hot_rows"), scratch)
-        cold = lambda side: side.join(small(hot), "token", "left_anti")
-        pairs = met(cold(short), cold(rows), by_length=True).union(left).distinct()
-        gone = gone.union(later)
-    else:
-        pairs = met(short, rows, by_length=True)
-    pairs = materialise(pairs, "pairs")
-    scratch.append(pairs)
+    pairs = materialise(met(first), "pairs")
+    scratch += [repeated, every, pairs]
     y_of = lambda df: df.select(F.col("y_id").alias("id"), F.col("y_at").alias("at"))
     if pairs.count() < MANY:
         return gone.union(y_of(verified(docs, pairs, scratch)))

@@ -78,3 +78,30 @@ def test_a_family_does_not_meet_in_all_pairs(spark, monkeypatch):
     family = [[word(draw, (4, 9)) if k == i % 60 else w for k, w in enumerate(base)] for i in range(300)]
     check(spark, [(i, " ".join(words)) for i, words in enumerate(family)])
     assert made["pairs"] < 300 * 20  # all pairs are 44850
+
+
+def test_lengths_at_both_ends_of_a_band(spark):
+    """Lines and others with a quarter more words, all of theirs among them."""
+    draw, texts = random.Random(14), []
+    for n in range(1, 130):
+        words = [word(draw, (3, 12)) for _ in range(n + n // 4)]
+        pair = [" ".join(words[:n]), " ".join(draw.sample(words, len(words)))]
+        texts += pair if n % 2 else pair[::-1]
+    check(spark, list(enumerate(texts)))
+
+
+def test_small_families_are_settled_before_the_join(spark, monkeypatch):
+    draw, made, kept = random.Random(15), Counter(), lines.materialise
+
+    def counted(df, label):
+        out = kept(df, label)
+        made[label] += out.count()
+        return out
+
+    monkeypatch.setattr(lines, "materialise", counted)
+    texts = []
+    for _ in range(40):
+        base = [word(draw, (4, 9)) for _ in range(40)]
+        texts += [" ".join(word(draw, (4, 9)) if k == draw.randrange(40) else w for k, w in enumerate(base)) for _ in range(6)]
+    check(spark, list(enumerate(texts)))
+    assert made["pairs"] < 80  # 600 pairs are similar
