@@ -105,3 +105,32 @@ def test_small_families_are_settled_before_the_join(spark, monkeypatch):
         texts += [" ".join(word(draw, (4, 9)) if k == draw.randrange(40) else w for k, w in enumerate(base)) for _ in range(6)]
     check(spark, list(enumerate(texts)))
     assert made["pairs"] < 80  # 600 pairs are similar
+
+
+def test_lines_with_many_words_of_their_own_meet_few_others(spark, monkeypatch):
+    """Of a family whose lines differ from its base by 2 to 12 words of 60, many are like no other line, but nearly."""
+    draw, made, kept = random.Random(16), Counter(), lines.materialise
+
+    def counted(df, label):
+        out = kept(df, label)
+        made[label] += out.count()
+        return out
+
+    monkeypatch.setattr(lines, "materialise", counted)
+    base = [word(draw, (4, 9)) for _ in range(60)]
+    texts = []
+    for _ in range(300):
+        own = set(draw.sample(range(60), draw.randint(2, 12)))
+        texts.append(" ".join(word(draw, (4, 9)) if k in own else w for k, w in enumerate(base)))
+    check(spark, list(enumerate(texts)))
+    assert made["pairs"] < 2000
+
+
+def test_documents_of_one_id(spark):
+    draw = random.Random(17)
+    own = [" ".join(word(draw) for _ in range(12)) for _ in range(6)]
+    rows = [(1, f"{own[0]}\n{own[1]}"), (1, f"{own[2]}\n{own[1]} more"), (1, f"{own[3]}\n{own[4]}"), (2, f"{own[4]}\n{own[5]}"), (None, own[5]), (None, own[0])]
+    out = lines.dedup_lines(spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")).collect()
+    assert sum(r.n_removed for r in out) == 6 and len(out) == 7
+    assert sorted(r.text for r in out if r.doc_id is None) == sorted([own[0], own[5]])
+    assert [r.text for r in out if r.doc_id == 2] == ["", ""]
